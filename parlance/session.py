@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,3 +94,18 @@ def lookup_join(
     salted = left.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, where it is not installed."""
+    context = spark.sparkContext
+    if getattr(context, "_parlance_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="parlance-zip-"), "parlance.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, str(file.relative_to(root.parent)))
+    # Spark copies the archive to every executor.
+    context.addPyFile(archive)
+    context._parlance_shipped = True

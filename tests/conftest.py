@@ -16,7 +16,7 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
-            "spark.driver.bindAddress": "127.0.0.1",
+            "spark.driver.host": "localhost",
         },
     )
     session.sparkContext.setLogLevel("ERROR")
