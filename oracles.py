@@ -452,6 +452,6 @@ said AS (
 judged AS (
   SELECT *, length('Topic: ' || s || ' Persona 1: ' || p1 || ' Persona 2: ' || p2 || ' Dialog: ' || d) % 12 AS n FROM said)
 SELECT t AS base_topic, s AS sub_topic, p1 AS persona_1, p2 AS persona_2, d AS dialogue, s AS cot,
-  'A talk of ' || (length(d) - 1) || ' characters' AS summary,
+  'A talk of ' || length(d) || ' characters' AS summary,
   CAST(CASE WHEN n BETWEEN 1 AND 10 THEN n END AS DOUBLE) AS llm_judge_score
 FROM judged"""

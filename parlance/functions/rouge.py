@@ -104,5 +104,4 @@ def lcs_expr(a: Column, b: Column) -> Column:
 
 def rouge_l_expr(a: Column, b: Column) -> Column:
     """F measure of two short token arrays, in the JVM."""
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, 0.0).otherwise(2.0 * lcs_expr(a, b) / total)
+    return F.when(F.arrays_overlap(a, b), 2.0 * lcs_expr(a, b) / (F.size(a) + F.size(b))).otherwise(0.0)

@@ -82,8 +82,8 @@ def distinct_speakers(dialogue: Column) -> Column:
     return F.array_distinct(speakers(dialogue))
 
 
-def append_followup(dialogue: Column, followup: Column) -> Column:
-    """Dialogue with one more utterance, spoken by the other speaker.
+def followup_lead(dialogue: Column) -> Column:
+    """What stands between a dialogue and one more utterance.
 
     With two or more speakers the second one answers, unless it spoke last;
     then the first one does. Otherwise the utterance has no speaker.
@@ -93,10 +93,11 @@ def append_followup(dialogue: Column, followup: Column) -> Column:
     last = F.element_at(turns, -1)
     second = F.get(names, F.lit(1))
     speaker = F.when(last == second, F.get(names, F.lit(0))).otherwise(second)
-    return F.when(
-        F.size(names) >= 2,
-        F.concat(dialogue, F.lit("\n    "), speaker, F.lit(": "), followup),
-    ).otherwise(F.concat(dialogue, F.lit("\n "), followup))
+    return F.when(F.size(names) >= 2, F.concat(F.lit("\n    "), speaker, F.lit(": "))).otherwise("\n ")
+
+
+def append_followup(dialogue: Column, followup: Column) -> Column:
+    return F.concat(dialogue, followup_lead(dialogue), followup)
 
 
 def context_response(dialogue: Column) -> Column:

@@ -13,6 +13,8 @@ unless its ROUGE-L with an item kept earlier reaches the threshold.
   undecided similar predecessor, and drops what is similar to a newly kept
   item. Near copies leave with their first one after one comparison each, so a
   large cluster costs its size, not its square. The window doubles per round.
+* A group that has, or is left with, at most ``LOCAL_ITEMS`` undecided items is
+  walked by one task in one go; the rounds serve the larger ones.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.rouge import rouge_l
+from parlance.functions.rouge import f_measure, lcs_length, position_masks, rouge_l
 from parlance.functions.text import word_text
 from parlance.operators.lists import REPEAT_THRESHOLD
 from parlance.session import lookup_join, materialize
@@ -33,6 +35,8 @@ from parlance.session import lookup_join, materialize
 # fixed, so their table does not grow with the data.
 FREQUENT_TOKENS = 20_000
 FIRST_WINDOW = 64
+# Undecided items of a group that one task may walk through.
+LOCAL_ITEMS = 512
 # Postings of one token that one task may join.
 LIST_ROWS = 50_000
 
@@ -119,6 +123,65 @@ def _similar(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     return scored.where(rouge_l(F.col("_a"), F.col("_b")) >= threshold).select("a_id", "b_id")
 
 
+def _round(
+    postings: DataFrame, items: DataFrame, threshold: float, window: int
+) -> tuple[DataFrame, DataFrame]:
+    """Newly kept _id, and the postings of what is still undecided."""
+    texts = items.select("_id", "_words")
+    lists = Window.partitionBy("_group", "_token").orderBy("_pos", "_id")
+    ranked = postings.withColumn("_rank", F.row_number().over(lists)).where(F.col("_rank") <= window)
+    # An item whose every posting is in a window sees all its predecessors.
+    sizes = postings.groupBy("_id").agg(F.count("*").alias("_all"))
+    seen = ranked.groupBy("_id").agg(F.count("*").alias("_seen"))
+    front = seen.join(sizes, "_id").where(F.col("_seen") == F.col("_all")).select("_id", F.lit(True).alias("_front"))
+    head = materialize(ranked.drop("_rank").join(front, "_id", "left"), "head")
+    ready = head.where("_front")
+    edges = _similar(_candidates(head, ready, threshold), texts, threshold)
+    blocked = edges.select(F.col("b_id").alias("_id")).distinct()
+    kept = materialize(ready.select("_id").distinct().join(blocked, "_id", "left_anti"), "kept")
+    leaders = postings.join(kept, "_id", "left_semi")
+    followers = postings.join(kept, "_id", "left_anti")
+    dropped = _similar(_candidates(leaders, followers, threshold), texts, threshold)
+    gone = dropped.select(F.col("b_id").alias("_id")).distinct()
+    return kept, materialize(followers.join(gone, "_id", "left_anti"), "postings")
+
+
+def _walk(items: DataFrame, threshold: float) -> DataFrame:
+    """_id of the items kept in groups of bounded size."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[tuple[dict[str, int], int]] = []
+        ids = []
+        for key, words in pdf.sort_values("_pos")[["_id", "_words"]].itertuples(index=False):
+            tokens = words.split(" ")
+            m = len(tokens)
+            for masks, n in kept:
+                # The shorter text bounds the score.
+                if 2.0 * min(n, m) / (n + m) < threshold:
+                    continue
+                if f_measure(lcs_length(masks, n, tokens), n, m) >= threshold:
+                    break
+            else:
+                kept.append((position_masks(tokens), m))
+                ids.append(key)
+        return pd.DataFrame({"_id": ids}, dtype="object")
+
+    return items.groupBy("_group").applyInPandas(walk, "_id string")
+
+
+def _split_by_size(items: DataFrame, local_items: int) -> tuple[DataFrame, DataFrame | None]:
+    """Items of the groups one task may walk, and those of larger groups if any."""
+    sizes = items.groupBy("_group").agg(F.count("*").alias("_size"))
+    large = materialize(sizes.where(F.col("_size") > local_items).select("_group"), "large")
+    if large.isEmpty():
+        return items, None
+    spread = F.col("_id")
+    return (
+        lookup_join(items, large, ["_group"], "left_anti", spread),
+        lookup_join(items, large, ["_group"], "left_semi", spread),
+    )
+
+
 def greedy_filter(
     df: DataFrame,
     group: str,
@@ -126,12 +189,15 @@ def greedy_filter(
     item: str,
     threshold: float = REPEAT_THRESHOLD,
     window: int = FIRST_WINDOW,
+    local_items: int = LOCAL_ITEMS,
 ) -> DataFrame:
     """Rows of ``df`` that the filter keeps. ``pos`` is unique within a group."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
+    # As JSON, so that a missing group is a group of its own.
+    group_key = F.to_json(F.struct(F.col(group).alias("g")))
     words = df.select(
-        F.col(group).cast("string").alias("_group"),
+        group_key.alias("_group"),
         F.col(pos).cast("long").alias("_pos"),
         F.coalesce(word_text(F.col(item)), F.lit("")).alias("_words"),
     ).withColumn("_id", F.concat_ws("/", "_pos", "_group"))
@@ -142,34 +208,22 @@ def greedy_filter(
         .groupBy("_group", "_words")
         .agg(F.min_by("_id", "_pos").alias("_id"), F.min("_pos").alias("_pos"))
     )
-    items = materialize(firsts, "items")
-    postings = materialize(_postings(items, threshold), "postings")
-    texts = items.select("_id", "_words")
-
-    kept_parts = []
-    while True:
-        lists = Window.partitionBy("_group", "_token").orderBy("_pos", "_id")
-        ranked = postings.withColumn("_rank", F.row_number().over(lists)).where(F.col("_rank") <= window)
-        # An item whose every posting is in a window sees all its predecessors.
-        sizes = postings.groupBy("_id").agg(F.count("*").alias("_all"))
-        seen = ranked.groupBy("_id").agg(F.count("*").alias("_seen"))
-        front = seen.join(sizes, "_id").where(F.col("_seen") == F.col("_all")).select("_id")
-        head = materialize(ranked.drop("_rank").join(front.withColumn("_front", F.lit(True)), "_id", "left"), "head")
-        ready = head.where("_front")
-        edges = _similar(_candidates(head, ready, threshold), texts, threshold)
-        blocked = edges.select(F.col("b_id").alias("_id")).distinct()
-        kept = materialize(
-            ready.select("_id").distinct().join(blocked, "_id", "left_anti"), "kept"
-        )
+    items = materialize(firsts.select("_id", "_group", "_pos", "_words"), "items")
+    small, large = _split_by_size(items, local_items)
+    kept_parts = [materialize(_walk(small, threshold), "kept")]
+    if large is not None:
+        large = materialize(large, "large")
+        postings = materialize(_postings(large, threshold), "postings")
+    while large is not None:
+        kept, postings = _round(postings, large, threshold, window)
         kept_parts.append(kept)
-        leaders = postings.join(kept, "_id", "left_semi")
-        followers = postings.join(kept, "_id", "left_anti")
-        dropped = _similar(_candidates(leaders, followers, threshold), texts, threshold)
-        gone = materialize(dropped.select(F.col("b_id").alias("_id")).distinct(), "gone")
-        postings = materialize(followers.join(gone, "_id", "left_anti"), "postings")
-        if postings.isEmpty():
-            break
         window *= 2
+        left = large.join(postings.select("_id").distinct(), "_id", "left_semi")
+        small, large = _split_by_size(materialize(left, "left"), local_items)
+        kept_parts.append(materialize(_walk(small, threshold), "kept"))
+        if large is not None:
+            large = materialize(large, "large")
+            postings = postings.join(large.select("_id"), "_id", "left_semi")
 
     kept = kept_parts[0]
     for part in kept_parts[1:]:
@@ -177,7 +231,7 @@ def greedy_filter(
     decided = items.join(kept, "_id", "left_semi").select("_group", "_pos")
     survivors = decided.unionByName(silent)
     return (
-        df.withColumn("_group", F.col(group).cast("string"))
+        df.withColumn("_group", group_key)
         .withColumn("_pos", F.col(pos).cast("long"))
         .join(survivors, ["_group", "_pos"], "left_semi")
         .drop("_group", "_pos")

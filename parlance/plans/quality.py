@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from parlance.functions.prompts import (
     DEFAULT, FOLLOWUPS, PROBED_ASPECTS, RATED_ASPECTS, Templates, probe_request, rubric_request,
 )
-from parlance.functions.text import append_followup
+from parlance.functions.text import followup_lead
 from parlance.functions.vectors import expected_rating, last_before, softmax_at
 from parlance.operators import model
 from parlance.operators.model import ClientFactory
@@ -48,8 +48,10 @@ def with_criteria(dialogues: DataFrame, table: Column) -> DataFrame:
 
 
 def followup_losses(dialogues: DataFrame, client: ClientFactory) -> DataFrame:
-    grid = with_criteria(dialogues.select("dialogue_id", "dialogue"), followup_criteria())
-    text = append_followup(F.col("dialogue"), F.col("utterance"))
+    # The speaker is found once per dialogue, below the explode.
+    led = dialogues.select("dialogue_id", "dialogue", followup_lead(F.col("dialogue")).alias("_lead"))
+    grid = with_criteria(led, followup_criteria())
+    text = F.concat("dialogue", "_lead", "utterance")
     return grid.select(
         "dialogue_id", "metric", "polarity", model.sequence_loss(text, client).alias("loss")
     )
