@@ -62,10 +62,10 @@ def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def part_lists(spark: SparkSession, sf: str) -> DataFrame:
     """l_orderkey, names: the part names of an order, as a response would list them."""
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    short = sampling.first_k(lines, ["l_orderkey"], ["l_linenumber", "l_partkey"], lists.MAX_LIST)
-    names = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return lists.gather_lists(short.join(names, "l_partkey"), ["l_orderkey"], ["pos"], "p_name", "names")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    named = lines.join(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    short = sampling.first_k(named, ["l_orderkey"], ["l_linenumber", "p_partkey"], lists.MAX_LIST)
+    return lists.gather_lists(short, ["l_orderkey"], ["pos"], "p_name", "names")
 
 
 def joined(items: Column) -> Column:

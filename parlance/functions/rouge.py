@@ -9,6 +9,7 @@ cost would dominate.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -39,15 +40,24 @@ def position_masks(tokens: Sequence[str]) -> dict[str, int]:
     return masks
 
 
-def lcs_length(masks: dict[str, int], n: int, other: Sequence[str]) -> int:
-    """Longest common subsequence of a masked list of ``n`` tokens and ``other``."""
+def lcs_length(masks: dict[str, int], n: int, other: Sequence[str], need: float = 0.0) -> int:
+    """Longest common subsequence of a masked list of ``n`` tokens and ``other``.
+
+    Stops early, with 0, once fewer than ``need`` can be reached.
+    """
     full = (1 << n) - 1
-    row = full
-    for token in other:
-        hit = masks.get(token)
-        if hit is not None:
-            common = row & hit
-            row = ((row + common) | (row - common)) & full
+    row, m = full, len(other)
+    find = masks.get
+    for lo in range(0, m, 64):
+        for token in other[lo : lo + 64]:
+            hit = find(token)
+            if hit:
+                common = row & hit
+                row = (row + common) | (row - common)
+        # Carries above bit n do no harm and are cut once per stretch.
+        row &= full
+        if n - row.bit_count() + max(m - lo - 64, 0) < need:
+            return 0
     return n - row.bit_count()
 
 
@@ -56,12 +66,59 @@ def f_measure(lcs: int, n: int, m: int) -> float:
 
 
 def score(reference: str | None, prediction: str | None, stem: bool = False) -> float:
-    a, b = tokenize(reference, stem), tokenize(prediction, stem)
-    if not a or not b:
+    a, b = sorted((tokenize(reference, stem), tokenize(prediction, stem)), key=len, reverse=True)
+    if not b:
         return 0.0
     return f_measure(lcs_length(position_masks(a), len(a), b), len(a), len(b))
 
 
+class Prepared:
+    """A token list with what repeated comparisons need of it."""
+
+    __slots__ = ("tokens", "counts", "masks")
+
+    def __init__(self, tokens: Sequence[str]):
+        self.tokens, self.counts, self.masks = tokens, Counter(tokens), None
+
+    def reaches(self, other: Prepared, threshold: float) -> bool:
+        """Whether the F measure of both is at least ``threshold``.
+
+        The common subsequence cannot be longer than the shorter list, nor
+        than the overlap of the two multisets; only then is it computed.
+        """
+        n, m = len(self.tokens), len(other.tokens)
+        need = threshold * (n + m) / 2 - 1e-9
+        if min(n, m) < need:
+            return False
+        small, large = sorted((self.counts, other.counts), key=len)
+        if sum(min(c, large[t]) for t, c in small.items() if t in large) < need:
+            return False
+        # The loop goes over the shorter list, the bits over the longer one.
+        long, short = (self, other) if n >= m else (other, self)
+        if long.masks is None:
+            long.masks = position_masks(long.tokens)
+        size = len(long.tokens)
+        return f_measure(lcs_length(long.masks, size, short.tokens, need), n, m) >= threshold
+
+
+def reaches(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two columns of words joined by single spaces are similar.
+
+    Rows of equal ``a`` in a row share its preparation.
+    """
+
+    @F.pandas_udf(T.BooleanType())
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        last, prepared, out = None, None, []
+        for x, y in zip(left, right):
+            if x != last:
+                last, prepared = x, Prepared(x.split(" "))
+            out.append(prepared.reaches(Prepared(y.split(" ")), threshold))
+        return pd.Series(out, dtype="bool")
+
+    return run(a, b)
+
+
 @F.pandas_udf(T.DoubleType())
 def _plain(reference: pd.Series, prediction: pd.Series) -> pd.Series:
     return pd.Series([score(r, p) for r, p in zip(reference, prediction)], dtype="float64")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.rouge import f_measure, lcs_length, position_masks, rouge_l
+from parlance.functions.rouge import Prepared, reaches
 from parlance.functions.text import word_text
 from parlance.operators.lists import REPEAT_THRESHOLD
 from parlance.session import lookup_join, materialize
@@ -35,8 +35,9 @@ from parlance.session import lookup_join, materialize
 # fixed, so their table does not grow with the data.
 FREQUENT_TOKENS = 20_000
 FIRST_WINDOW = 64
-# Undecided items of a group that one task may walk through.
+# Undecided items, and their characters, that one task may walk through.
 LOCAL_ITEMS = 512
+LOCAL_CHARACTERS = 4_000_000
 # Postings of one token that one task may join.
 LIST_ROWS = 50_000
 
@@ -108,8 +109,10 @@ def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
         a = a.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
         b = b.withColumn("_part", F.pmod(F.xxhash64("b_id"), F.col("_parts")).cast("int")).drop("_parts")
         keys.append("_part")
+    # Few bytes meet in many combinations here: a set number of tasks, too.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        a.join(b, keys)
+        a.repartition(tasks, *keys).join(b.repartition(tasks, *keys), keys)
         .where((F.col("a_pos") < F.col("b_pos")) & near & meet)
         .select("a_id", "b_id")
         .distinct()
@@ -117,10 +120,18 @@ def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
 
 
 def _similar(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that reach the threshold.
+
+    Pairs are few bytes and much work, so their number of tasks is set rather
+    than left to size-based coalescing. Hashing both ids spreads an item with
+    many partners.
+    """
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a = words.select(F.col("_id").alias("a_id"), F.col("_words").alias("_a"))
     b = words.select(F.col("_id").alias("b_id"), F.col("_words").alias("_b"))
-    scored = pairs.join(a, "a_id").join(b, "b_id")
-    return scored.where(rouge_l(F.col("_a"), F.col("_b")) >= threshold).select("a_id", "b_id")
+    joined = pairs.join(a, "a_id").join(b, "b_id").repartition(tasks, "a_id", "b_id")
+    scored = joined.sortWithinPartitions("a_id")
+    return scored.where(reaches(F.col("_a"), F.col("_b"), threshold)).select("a_id", "b_id")
 
 
 def _round(
@@ -150,19 +161,12 @@ def _walk(items: DataFrame, threshold: float) -> DataFrame:
     """_id of the items kept in groups of bounded size."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[dict[str, int], int]] = []
+        kept: list[Prepared] = []
         ids = []
         for key, words in pdf.sort_values("_pos")[["_id", "_words"]].itertuples(index=False):
-            tokens = words.split(" ")
-            m = len(tokens)
-            for masks, n in kept:
-                # The shorter text bounds the score.
-                if 2.0 * min(n, m) / (n + m) < threshold:
-                    continue
-                if f_measure(lcs_length(masks, n, tokens), n, m) >= threshold:
-                    break
-            else:
-                kept.append((position_masks(tokens), m))
+            item = Prepared(words.split(" "))
+            if not any(k.reaches(item, threshold) for k in kept):
+                kept.append(item)
                 ids.append(key)
         return pd.DataFrame({"_id": ids}, dtype="object")
 
@@ -171,8 +175,9 @@ def _walk(items: DataFrame, threshold: float) -> DataFrame:
 
 def _split_by_size(items: DataFrame, local_items: int) -> tuple[DataFrame, DataFrame | None]:
     """Items of the groups one task may walk, and those of larger groups if any."""
-    sizes = items.groupBy("_group").agg(F.count("*").alias("_size"))
-    large = materialize(sizes.where(F.col("_size") > local_items).select("_group"), "large")
+    sizes = items.groupBy("_group").agg(F.count("*").alias("_size"), F.sum(F.length("_words")).alias("_chars"))
+    over = (F.col("_size") > local_items) | (F.col("_chars") > LOCAL_CHARACTERS)
+    large = materialize(sizes.where(over).select("_group"), "large")
     if large.isEmpty():
         return items, None
     spread = F.col("_id")

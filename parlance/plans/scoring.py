@@ -128,7 +128,7 @@ def score_summaries(
     ``rows``: id, dialogue, summary, predicted_summary.
     """
     texts = score_texts(rows, ["id"], "predicted_summary", "summary", client, stem=False)
-    agreement = qags(qa_rows(rows, client, n, store), client)
+    agreement = qags(materialize(qa_rows(rows, client, n, store), "qas"), client)
     return long_metrics(texts, ["id"], ["rouge_l", "bert_score"]).unionByName(
         agreement.select("id", F.lit("qags").alias("metric"), F.col("mean").alias("value"))
     )

@@ -20,7 +20,8 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-tests-"))
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-tests-"))
     yield session
     session.stop()
 
