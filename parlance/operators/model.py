@@ -102,7 +102,7 @@ def run_requests(
                         {"request_id": part["request_id"].to_numpy(), "response": texts, "error": errors}
                     )
 
-        spread = todo.repartition(partitions) if partitions else todo
+        spread = todo.repartition(partitions, "request_id") if partitions else todo
         return spread.mapInPandas(run, RESPONSE)
 
     where = store or scratch_path(spark, "responses")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.operators import model
 from parlance.operators.diversity import FILE_ROWS, cosine_row_maxima, rouge_row_maxima
 from parlance.operators.model import ClientFactory
 from parlance.operators.sampling import first_k
+from parlance.operators.reports import long_metrics
 from parlance.session import materialize
+from parlance.sources.files import FILE, POS, read_dialogues
+from parlance.sources.tables import append_report
 
 
 def corpus_diversity(
@@ -31,3 +34,14 @@ def corpus_diversity(
         F.avg("best_rouge").alias("rouge"),
         F.avg("best_cosine").alias("cosine"),
     )
+
+
+def diversity_report(spark: SparkSession, folder: str, client: ClientFactory, report: str, run_id: str) -> DataFrame:
+    """Append run_id, file_name, metric, value for every dialogue CSV of a folder."""
+    rows = corpus_diversity(read_dialogues(spark, folder), FILE, [POS], "dialogue", client)
+    table = materialize(
+        long_metrics(rows, [FILE], ["rouge", "cosine"]).select(F.lit(run_id).alias("run_id"), FILE, "metric", "value"),
+        "diversity",
+    )
+    append_report(table, report)
+    return table

@@ -84,7 +84,10 @@ class ResponseStore:
         """Answer the missing requests, append, and return the store's answers, one per id."""
         answer(self.missing(requests)).select(*self.schema.names).write.mode("append").parquet(self.path)
         answers = self.load()
-        # A retried request has an error row before its answer.
+        # A retried request has an error row before its answer. The text breaks
+        # ties, so every evaluation picks the same row.
         return answers.groupBy("request_id").agg(
-            F.min_by(F.struct("response", "error"), F.col("error").isNotNull()).alias("_r")
+            F.min_by(
+                F.struct("response", "error"), F.struct(F.col("error").isNotNull(), "response", "error")
+            ).alias("_r")
         ).select("request_id", "_r.response", "_r.error")
