@@ -35,7 +35,7 @@ from parlance.llm.common import packed, prepare
 BLOCK_CHARS = 12_000_000
 MOST_PIECES = 1_000_000
 # Characters below this one are split by a plain pattern; a text with others goes through the library's own steps.
-_SIMPLE = 0x250
+_SIMPLE = 0x180
 
 
 class Splitter:

@@ -67,3 +67,65 @@ QUERIES = {
         op1_ann, op2_quality, op3_pq, op4_pii, op5_language, op6_urls, op7_licenses, op8_simhash, op9_bpe, op10_mixing
     )
 }
+
+_RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+
+ORACLES = {
+    "op3_pq": f"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= {pq.COSINE}),
+reached AS (
+  SELECT vec_id AS id, vec_id AS node FROM embeddings WHERE vec_id IS NOT NULL
+  UNION SELECT r.id, l.b FROM reached r JOIN links l ON l.a = r.node),
+classes AS (SELECT id, min(node) AS component_id FROM reached GROUP BY id),
+counts AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN classes c ON c.id = e.vec_id LEFT JOIN counts k ON k.id = e.vec_id""",
+    "op6_urls": f"""
+WITH rules(verdict, rhost, rpath) AS (VALUES {_RULES_SQL}),
+cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM cut),
+parts AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM split),
+fits AS (
+  SELECT page_id, rhost || rpath AS rule, verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, rhost || rpath) AS place
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND place = 1""",
+    "op10_mixing": f"""
+WITH docs AS (
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS rank, md5(coalesce(text, '')) AS tie,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn
+  FROM docs GROUP BY source),
+weighed AS (
+  SELECT source, source_size, [{", ".join(map(str, map(float, mixing.WEIGHTS)))}][turn % {len(mixing.WEIGHTS)} + 1]::DOUBLE AS weight,
+    [{", ".join(map(str, mixing.TILTS))}][turn % {len(mixing.TILTS)} + 1]::DOUBLE AS tilt,
+    {mixing.CAP}.0::DOUBLE * source_size AS most FROM sources),
+ordered AS (
+  SELECT *, sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) - most AS fixed,
+    sum(weight) OVER (ORDER BY most / weight DESC, source DESC NULLS FIRST ROWS UNBOUNDED PRECEDING) AS open FROM weighed),
+levels AS (
+  SELECT *, ((SELECT sum(source_size) FROM sources) - fixed) / open AS level FROM ordered),
+level AS (SELECT max(level) AS level FROM levels WHERE level <= most / weight),
+plan AS (SELECT source, source_size, tilt, least(most, weight * coalesce((SELECT level FROM level), 0)) AS target FROM levels),
+run AS (
+  SELECT d.*, p.source_size, p.target, p.tilt,
+    sum(size) OVER (PARTITION BY d.source ORDER BY rank, doc_id, tie ROWS UNBOUNDED PRECEDING) - size + size / 2.0::DOUBLE AS middle
+  FROM docs d JOIN plan p ON p.source IS NOT DISTINCT FROM d.source),
+taken AS (
+  SELECT *, CASE WHEN size > 0 THEN greatest(ceil((target - middle) / nullif(source_size, 0)), 0) ELSE 0 END::BIGINT AS copies,
+    middle / nullif(target, 0) AS u FROM run)
+SELECT doc_id, size, source_size, target, size * copies AS taken,
+  CASE WHEN copies > 0 THEN round(CASE WHEN tilt = 0 THEN u
+    ELSE (tilt - 1 + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * u)) / (2 * tilt) END, 6) END AS position FROM taken""",
+}

@@ -207,7 +207,7 @@ def trie_links(values: DataFrame, budget: int = MAX_BITS, leaf: int = LEAF) -> D
 
 
 def simhash_classes(marked: DataFrame, budget: int = MAX_BITS) -> DataFrame:
-    """fingerprint, component_id (smallest doc_id of the class), from rows doc_id, fingerprint."""
+    """fingerprint, root (a name of the class), component_id (its smallest doc_id), from rows doc_id, fingerprint."""
     values = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     values = materialize(values, "fingerprints")
     roots = components(trie_links(values.select("fingerprint"), budget)).withColumnsRenamed(
@@ -216,7 +216,7 @@ def simhash_classes(marked: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     rooted = values.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     rooted = materialize(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialize(rooted.join(least, "root").select("fingerprint", "component_id"), "classes")
+    return materialize(rooted.join(least, "root").select("fingerprint", "root", "component_id"), "classes")
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, budget: int = MAX_BITS) -> DataFrame:
@@ -242,7 +242,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, budget: int = MAX_BITS) -> Dat
     classes = simhash_classes(ids, budget)
     # The id may repeat within its group under other texts; one of them stays.
     own = ids.join(classes, "fingerprint").where("doc_id = component_id")
-    first = own.groupBy("component_id").agg(F.min("text_hash").alias("text_hash"))
-    one = keyed.join(first.withColumnRenamed("component_id", "doc_id"), ["doc_id", "text_hash"])
+    first = own.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    one = keyed.join(first, ["doc_id", "text_hash"])
     one = one.dropDuplicates(["doc_id", "text_hash"])
     return one.select("_row.*").unionByName(docs.where(F.col("doc_id").isNull()))
