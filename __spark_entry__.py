@@ -583,16 +583,25 @@ QUERIES = [
 ]
 
 
+try:  # the training-data operators are optional
+    from parlance.llm.queries import ORACLES as LLM_ORACLES, QUERIES as LLM_QUERIES
+    import corpus_pipeline
+except ImportError:
+    LLM_QUERIES, LLM_ORACLES = {}, {}
+else:
+    LLM_QUERIES = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Corpus diversity: the mean best score of each source's documents."""
     return corpus_diversity(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES}
+    return {**{q.__name__: q for q in QUERIES}, **LLM_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import ORACLES
 
-    return dict(ORACLES)
+    return {**ORACLES, **LLM_ORACLES}
