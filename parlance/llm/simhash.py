@@ -4,7 +4,7 @@ A text's fingerprint has a bit set where more than half of its shingles' XXH64
 values have it. The distinct fingerprints form a binary trie. Pairs of nodes
 are walked together from the root; a pair whose prefixes differ in more bits
 than the budget is dropped with everything below it. The top of the trie is
-walked as a table of node pairs, four bits a round, until both nodes hold at
+walked as a table of node pairs, two bits a round, until both nodes hold at
 most ``LEAF`` fingerprints; then each pair of subtries is one bounded task that
 goes on bit by bit. Equal fingerprints are one class before the walk, so a
 large group of copies is one leaf.
@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -32,7 +31,7 @@ from parlance.session import materialize
 WORDS, SEED, BITS = 4, 42, 64
 MAX_BITS = 4
 LEAF = 16_384
-STEP = 4
+STEP = 2
 # Node pairs with at most this many fingerprint pairs are compared directly.
 DIRECT = 64
 
@@ -184,26 +183,30 @@ def trie_links(values: DataFrame, budget: int = MAX_BITS, leaf: int = LEAF) -> D
     for depth, ready in tasks:
         if ready.isEmpty():
             continue
-        sides = ready.select("pa", "pb", "differ", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
-        sides = sides.where("side = 0 or pa != pb").withColumn("node", F.expr("if(side = 0, pa, pb)"))
-        own = values.select("fingerprint", _prefix(F.col("fingerprint"), depth).alias("node"))
-        part = own.join(sides, "node").select(F.lit(depth).alias("depth"), "pa", "pb", "differ", "side", "fingerprint")
+        # A leaf holds a bounded number of fingerprints, so they travel as one array.
+        node = _prefix(F.col("fingerprint"), depth).alias("node")
+        leaves = ready.select(F.explode(F.array("pa", "pb")).alias("node")).distinct()
+        leaves = values.select(node, "fingerprint").join(leaves, "node", "left_semi")
+        leaves = leaves.groupBy("node").agg(F.collect_list("fingerprint").alias("held"))
+        leaves = materialize(leaves, "leaves")
+        left = leaves.select(F.col("node").alias("pa"), F.col("held").alias("a"))
+        right = leaves.select(F.col("node").alias("pb"), F.col("held").alias("b"))
+        part = ready.join(left, "pa").join(right, "pb").select(F.lit(depth).alias("depth"), "pa", "pb", "differ", "a", "b")
         rows = part if rows is None else rows.unionByName(part)
     if rows is None:
         return spark.createDataFrame([], "a long, b long")
 
-    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        depth, pa_, pb_ = key
-        both = pdf["fingerprint"].to_numpy(np.int64).view(np.uint64)
-        right = pdf["side"].to_numpy() == 1
-        a = np.sort(both[~right])
-        same = pa_ == pb_
-        b = a if same else np.sort(both[right])
-        x, y = close_pairs(a, b, int(depth), int(pdf["differ"].iloc[0]), same, budget)
-        low, root = forest(x.view(np.int64), y.view(np.int64))
-        return pd.DataFrame({"a": low, "b": root})
-
-    return rows.groupBy("depth", "pa", "pb").applyInPandas(join, "a long, b long")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                depth, pa_, pb_, differ = (batch.column(c)[k].as_py() for c in range(4))
+                a, b = (np.sort(batch.column(c)[k].values.to_numpy().view(np.uint64)) for c in (4, 5))
+                x, y = close_pairs(a, a if pa_ == pb_ else b, depth, differ, pa_ == pb_, budget)
+                low, root = forest(x.view(np.int64), y.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(root)], ["a", "b"])
+
+    # Even tasks: a node's pairs are spread over all of them.
+    return rows.repartition("depth", "pa", "pb").mapInArrow(join, "a long, b long")
 
 
 def simhash_classes(marked: DataFrame, budget: int = MAX_BITS) -> DataFrame:
