@@ -10,7 +10,7 @@ words of each block are shuffled: a frequent word is one row a block, and no
 word table is sent to every worker.
 
 Decoding looks the ids up in the id-to-piece table, whose size is that of the
-vocabulary (``MOST_PIECES`` at most), so it is sent to the workers; pieces are
+vocabulary (``MOST_PIECES`` at most), so it is a constant of the plan; pieces are
 joined as the library's decode() does for a tokenizer without a decoder.
 
 Defined results: a null or empty text has no ids and decodes to the empty
@@ -26,16 +26,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import packed, prepare
+from parlance.llm.common import prepare
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 10_000_000
+# So many rows (word and block) of a task are packed together on their way back.
+PACK_ROWS = 250_000
 MOST_PIECES = 1_000_000
 # Characters below this one are split by a plain pattern; a text with others goes through the library's own steps.
-_SIMPLE = 0x180
+_SIMPLE = 0x100
+
+
+def _simple(text: str) -> bool:
+    """Whether all characters are below _SIMPLE."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Splitter:
@@ -64,23 +78,31 @@ class Splitter:
         others = spell(lambda c: kind[c] not in "LN" and c not in blank)
         plain = pattern.replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{digits}]")
         plain = plain.replace(r"[^\s\p{L}\p{N}]", f"[{others}]")
+        # Letters first: no other alternative begins with one, so the matches are the same.
+        run = f"[{letters}]+"
+        front, _, back = plain.partition(run)
+        if back and not any(a[:1] in letters for a in front.split("|") if a):
+            plain = f"{run}|{front}{back.lstrip('|')}"
         self.plain = None if r"\p" in plain else re.compile(plain).findall
-        self.beyond = re.compile(f"[^\\x00-{chr(_SIMPLE - 1)}]|İ").search
 
-    def _words(self, text: str) -> list[str]:
-        if self.plain is not None and not self.beyond(text):
-            return self.plain(text.lower())
-        return [word for word, _ in self.slow(self.normalize(text))]
+    def _words(self, text: str) -> str:
+        if self.plain is not None and _simple(text):
+            return " ".join(self.plain(text.lower()))
+        return " ".join([word for word, _ in self.slow(self.normalize(text))])
 
-    def __call__(self, text: str) -> list[str]:
+    def joined(self, text: str) -> str:
+        """The words, joined by single spaces."""
         if "<" not in text or not self.marks.search(text):
             return self._words(text)
-        words, at = [], 0
+        parts, at = [], 0
         for m in self.marks.finditer(text):
-            words += self._words(text[at : m.start()])
-            words.append(f"\t{self.special[m.group()]}")
+            parts += [self._words(text[at : m.start()]), f"\t{self.special[m.group()]}"]
             at = m.end()
-        return words + self._words(text[at:])
+        return " ".join(p for p in [*parts, self._words(text[at:])] if p)
+
+    def __call__(self, text: str) -> list[str]:
+        joined = self.joined(text)
+        return joined.split(" ") if joined else []
 
 
 class WordEncoder:
@@ -109,99 +131,141 @@ def pieces(path: str) -> list[str]:
 
 
 def split_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """_row, words: the words of each text, joined by single spaces."""
-    rows = packed(docs, F.coalesce(docs[text], F.lit("")).alias("_text"))
+    """row (the other columns), words: the words of each text joined by single spaces, compressed."""
+    rest = [c for c in docs.columns if c != text]
+    kept = F.struct(*[docs[f"`{c}`"] for c in rest]) if rest else F.struct(F.lit(0).alias("_none"))
+    rows = docs.select(kept.alias("row"), F.coalesce(docs[text], F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(path)
+        split, pack = Splitter(path), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            words = [" ".join(split(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], ["_row", "words"])
+            words = [pack.compress(split.joined(t.as_py()).encode()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["row", "words"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("words", T.BinaryType())]))
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["_row"], T.StructField("words", T.StringType())]))
+
+def _unpacked(column: pa.ChunkedArray | pa.Array) -> Iterator[list[str]]:
+    unpack = zstandard.ZstdDecompressor()
+    for x in column:
+        joined = unpack.decompress(x.as_py()).decode()
+        yield joined.split(" ") if joined else []
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The columns of ``docs`` but the text (null if none), as struct ``_row``, and ``ids``."""
+    """``_row`` (the columns of ``docs`` but the text) and ``ids`` of each text."""
     prepare(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text] or [text]
     chars = docs.agg(F.sum(F.octet_length(text)).alias("n")).head()["n"] or 0
     blocks = max(1, -(-chars // block_chars))
-    words = split_words(docs, path, text)
-    kept = F.struct(*[F.col("_row")[c].alias(c) for c in rest])
     # A block is a hash of the words and the row, so that equal ids or equal texts alone do not meet.
     block = F.pmod(F.xxhash64("words", F.to_json("row")), F.lit(blocks)).cast("int")
-    dealt = words.select(kept.alias("row"), "words").withColumn("block", block).repartition(blocks, "block")
+    dealt = split_words(docs, path, text).withColumn("block", block).repartition(blocks, "block")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct words of each block; a partition holds few blocks, of bounded size."""
+        """Distinct words of each block, numbered in order; a partition holds few blocks, of bounded size."""
         seen: dict[int, set[str]] = {}
         for batch in batches:
-            for b, w in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
-                fresh = set(w.split(" ")) if w else set()
-                seen.setdefault(b, set()).update(fresh)
+            for b, words in zip(batch.column("block").to_pylist(), _unpacked(batch.column("words"))):
+                seen.setdefault(b, set()).update(words)
         for b, found in seen.items():
             names = pa.array(sorted(found), pa.string())
             for start in range(0, len(names), 50_000):
                 part = names.slice(start, 50_000)
-                yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), b, np.int32))], ["word", "block"])
+                number = np.arange(start, start + len(part), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part, pa.array(np.full(len(part), b, np.int32)), pa.array(number)], ["word", "block", "number"]
+                )
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by word: a word is encoded at its first row and repeated for its other blocks."""
         encoder, last, last_ids = WordEncoder(path), None, []
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         for batch in batches:
             names = batch.column(0).dictionary_encode()
             fresh = names.dictionary.to_pylist()
             ids = encoder([w for w in fresh if w != last])
             if last in fresh:
                 ids.insert(fresh.index(last), last_ids)
-            out = pa.array(ids, pa.list_(pa.int32()))
             last, last_ids = fresh[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), out.take(names.indices)], ["word", "block", "ids"]
-            )
+            out = pa.array(ids, pa.list_(pa.int32())).take(names.indices)
+            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), out))
+            if sum(len(h[0]) for h in held) >= PACK_ROWS:
+                yield _packed(held)
+                held = []
+        if held:
+            yield _packed(held)
 
     # All columns go in, though two are read: the exchange is then the one that the other side reads.
-    found = dealt.mapInArrow(distinct, "word string, block int")
-    coded = found.repartition("word").sortWithinPartitions("word")
-    coded = coded.mapInArrow(encoded, "word string, block int, ids array<int>")
+    found = dealt.mapInArrow(distinct, "word string, block int, number int")
+    found = found.repartition("word").sortWithinPartitions("word").mapInArrow(coded, "block int, codes binary")
     shape = T.StructType([T.StructField("_row", dealt.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    def place(own: pa.Table, coded: pa.Table) -> pa.Table:
+    def place(own: pa.Table, codes: pa.Table) -> pa.Table:
         """A block's words replaced by their ids."""
-        lists = coded.column("ids").combine_chunks()
-        number = dict(zip(coded.column("word").to_pylist(), range(len(coded))))
-        flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-        start = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
+        names: set[str] = set()
+        for words in _unpacked(own.column("words")):
+            names.update(words)
+        number = {w: i for i, w in enumerate(sorted(names))}
+        start, size, flat = _placed(codes.column("codes"), len(number))
         values, lengths = [], []
-        for w in own.column("words").to_pylist():
-            at = np.array([number[x] for x in w.split(" ")] if w else [], np.int64)
-            n = size[at] if len(at) else np.zeros(0, np.int64)
+        for words in _unpacked(own.column("words")):
+            at = np.array([number[w] for w in words], np.int64)
+            n = size[at]
             total = int(n.sum())
             ends = np.cumsum(n)
-            values.append(flat[np.repeat(start[at] - (ends - n), n) + np.arange(total)] if total else flat[:0])
+            values.append(flat[np.repeat(start[at] - (ends - n), n) + np.arange(total)])
             lengths.append(total)
         offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
-        joined = np.concatenate(values).astype(np.int32) if values else np.zeros(0, np.int32)
+        joined = np.concatenate(values) if values else flat[:0]
         rows = own.column("row").combine_chunks()
         return pa.table({"_row": rows, "ids": pa.ListArray.from_arrays(offsets, pa.array(joined))})
 
-    return dealt.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(place, shape)
+    return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(place, shape)
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> pa.RecordBatch:
+    """block, codes: of each block the words' numbers, the lengths of their ids, and the ids, compressed."""
+    block, number = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    order = np.argsort(block, kind="stable")
+    ids = pa.concat_arrays([h[2] for h in held]).take(pa.array(order))
+    block, number = block[order], number[order]
+    offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+    edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
+    pack = zstandard.ZstdCompressor(level=1)
+    codes = []
+    for i, j in zip(edges[:-1], edges[1:]):
+        parts = [[j - i], number[i:j], np.diff(offsets[i : j + 1]), flat[offsets[i] : offsets[j]]]
+        # Bytes of equal rank stand together, which packs small numbers well.
+        raw = np.concatenate(parts).astype("<i4").view(np.uint8).reshape(-1, 4).T
+        codes.append(pack.compress(np.ascontiguousarray(raw).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]].astype(np.int32)), pa.array(codes, pa.binary())], ["block", "codes"])
+
+
+def _placed(column: pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By word number: place and number of its ids in the third array."""
+    unpack = zstandard.ZstdDecompressor()
+    start, size = np.zeros(words, np.int64), np.zeros(words, np.int64)
+    flats, base = [np.zeros(0, np.int32)], 0
+    for x in column:
+        raw = np.frombuffer(unpack.decompress(x.as_py()), np.uint8).reshape(4, -1).T
+        raw = np.ascontiguousarray(raw).view("<i4").ravel()
+        n = int(raw[0])
+        number, length, flat = raw[1 : n + 1], raw[n + 1 : 2 * n + 1], raw[2 * n + 1 :]
+        start[number] = base + np.cumsum(length) - length
+        size[number] = length
+        flats.append(flat)
+        base += len(flat)
+    return start, size, np.concatenate(flats)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` with ``decoded``, the text of its ``ids``."""
-    table = rows.sparkSession.sparkContext.broadcast(pieces(path))
-    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
-    at = rows.columns.index("ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = table.value
-        for batch in batches:
-            text = [" ".join([piece[i] for i in ids]) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], schema.names)
-
-    return rows.mapInArrow(run, schema)
+    """``rows`` with ``decoded``, the text of its ``ids``: each id's piece from the table, joined by spaces."""
+    names = pieces(path)
+    if any("\n" in n for n in names):
+        raise ValueError("a piece holds a line break")
+    # One constant array, made once by the optimizer; the lookup stays in the JVM.
+    table = F.split(F.lit("\n".join(names)), "\n", -1)
+    return rows.withColumn("decoded", F.array_join(F.transform("ids", lambda i: F.get(table, i)), " "))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parlance.session import materialize, ship_package
 
 # Arrow batches handed to Python end at this size, so long texts cannot pile up.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

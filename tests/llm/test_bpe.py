@@ -68,7 +68,7 @@ def test_odd_rows(odd_docs, no_docs, library):
 
 
 def test_many_blocks(odd_docs, library):
-    rows = bpe.encode(odd_docs.select("doc_id", "text"), PATH, block_chars=50_000).collect()
+    rows = bpe.encode(odd_docs, PATH, block_chars=50_000).collect()
     assert len(rows) == 12
     ids = {r["_row"]["doc_id"]: list(r["ids"]) for r in rows}
     text = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
