@@ -26,8 +26,6 @@ from parlance.session import materialize, scratch_path, ship_package  # noqa: E4
 from parlance.sources import files, tables  # noqa: E402
 from parlance.schemas import TEST_CSV  # noqa: E402
 
-# Turns of one dialogue text. A longer conversation becomes several dialogues.
-DIALOGUE_TURNS = 512
 SEED = 7
 
 
@@ -44,12 +42,11 @@ def r6(c: Column) -> Column:
 
 
 def dialogues(spark: SparkSession, sf: str) -> DataFrame:
-    """dialogue_id, dialogue: turns as '#role#: text' lines."""
+    """dialogue_id, dialogue: a conversation's turns as '#role#: text' lines, one dialogue however long."""
     turns = table(spark, sf, "conversations")
     return (
-        turns.groupBy("conv_id", F.expr(f"turn div {DIALOGUE_TURNS}").alias("part"))
+        turns.groupBy(F.col("conv_id").cast("string").alias("dialogue_id"))
         .agg(text.render_turns(F.array_sort(F.collect_list(F.struct("turn", "role", "text")))).alias("dialogue"))
-        .select(F.concat_ws("-", "conv_id", "part").alias("dialogue_id"), "dialogue")
     )
 
 
@@ -64,8 +61,7 @@ def part_lists(spark: SparkSession, sf: str) -> DataFrame:
     """l_orderkey, names: the part names of an order, as a response would list them."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
     named = lines.join(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
-    short = sampling.first_k(named, ["l_orderkey"], ["l_linenumber", "p_partkey"], lists.MAX_LIST)
-    return lists.gather_lists(short, ["l_orderkey"], ["pos"], "p_name", "names")
+    return lists.gather_lists(named, ["l_orderkey"], ["l_linenumber", "p_partkey"], "p_name", "names")
 
 
 def joined(items: Column) -> Column:
@@ -471,7 +467,9 @@ def last_yes_position(spark, sf):
 
 
 def expected_rating(spark, sf):
-    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x * 10)
+    third = lambda k: F.filter("embedding", lambda x, i: i % 3 == k)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda sum_, x: sum_ + x.cast("double"))
+    logits = F.array(*[total(third(k)) for k in range(3)])
     return table(spark, sf, "embeddings").select(
         "vec_id", r6(vectors.expected_rating(logits)).alias("rating")
     )

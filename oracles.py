@@ -29,20 +29,17 @@ def values(rows: list[tuple[str, ...]]) -> str:
 
 
 DIALOGUES = """dialogues AS (
-  SELECT conv_id || '-' || (turn // 512) AS dialogue_id,
+  SELECT CAST(conv_id AS VARCHAR) AS dialogue_id,
          string_agg('#' || role || '#: ' || text, chr(10) ORDER BY turn) AS dialogue
-  FROM conversations GROUP BY conv_id, turn // 512)"""
+  FROM conversations GROUP BY conv_id)"""
 
 PAIRS = """pairs AS (
   SELECT a.conv_id, a.turn, a.text AS a, b.text AS b
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
 
 LISTS = """lists AS (
-  SELECT l_orderkey, list(p_name ORDER BY pos) AS names
-  FROM (SELECT l_orderkey, p_name,
-               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos
-        FROM lineitem JOIN part ON l_partkey = p_partkey)
-  WHERE pos < 20 GROUP BY l_orderkey)"""
+  SELECT l_orderkey, list(p_name ORDER BY l_linenumber, l_partkey) AS names
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)"""
 
 ROWS = """rows_ AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, text AS dialogue,
@@ -350,8 +347,9 @@ FROM (SELECT doc_id, t, list_position(list_reverse(t), 3) AS p
       FROM (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w) % 7) AS t FROM documents))"""
 ORACLES["expected_rating"] = """
 SELECT vec_id, round((exp(x) + 2 * exp(y) + 3 * exp(z)) / (exp(x) + exp(y) + exp(z)), 6) AS rating
-FROM (SELECT vec_id, 10 * CAST(embedding[1] AS DOUBLE) AS x, 10 * CAST(embedding[2] AS DOUBLE) AS y,
-             10 * CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"""
+FROM (SELECT vec_id, list_sum(list_filter(e, lambda v, i: i % 3 = 1)) AS x,
+             list_sum(list_filter(e, lambda v, i: i % 3 = 2)) AS y, list_sum(list_filter(e, lambda v, i: i % 3 = 0)) AS z
+      FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings))"""
 
 FED_ROWS = f"""fed AS (
   SELECT dialogue_id, metric,
