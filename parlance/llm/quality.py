@@ -101,6 +101,8 @@ def _gathered(rows: DataFrame) -> np.ndarray:
 
     found = rows.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "x binary").toArrow()
     raw = b"".join(found.column("x").to_pylist())
+    if not raw:
+        return np.zeros((0, DIMS + 4), np.float32)
     return np.frombuffer(raw, np.float16).reshape(found.num_rows, -1).astype(np.float32)
 
 
