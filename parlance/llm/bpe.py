@@ -20,6 +20,7 @@ text. Rows with null or repeated ids are encoded like any other.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -37,8 +38,11 @@ BLOCK_CHARS = 10_000_000
 # So many rows (word and block) of a task are packed together on their way back.
 PACK_ROWS = 250_000
 MOST_PIECES = 1_000_000
+# A long text is split in pieces of about so many characters, cut before white space, where no word can be cut.
+PIECE_CHARS = 1 << 16
 # Characters below this one are split by a plain pattern; a text with others goes through the library's own steps.
 _SIMPLE = 0x100
+_BLANK = re.compile(r"[ \t\n\r]")
 
 
 def _simple(text: str) -> bool:
@@ -52,6 +56,15 @@ def _simple(text: str) -> bool:
     return True
 
 
+def _pieces(text: str) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + PIECE_CHARS)
+        to = blank.start() if blank else len(text)
+        yield text[at:to]
+        at = to
+
+
 class Splitter:
     """Words of a text as the tokenizer's normalizer and pre-tokenizer make them.
 
@@ -86,6 +99,9 @@ class Splitter:
         self.plain = None if r"\p" in plain else re.compile(plain).findall
 
     def _words(self, text: str) -> str:
+        return " ".join(filter(None, map(self._piece, _pieces(text))))
+
+    def _piece(self, text: str) -> str:
         if self.plain is not None and _simple(text):
             return " ".join(self.plain(text.lower()))
         return " ".join([word for word, _ in self.slow(self.normalize(text))])
@@ -109,6 +125,8 @@ class WordEncoder:
     """Ids of single words, by the tokenizer's model alone."""
 
     def __init__(self, path: str):
+        # The tasks fill the cores already; threads of the library would each hold memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer(Tokenizer.from_file(path).model)

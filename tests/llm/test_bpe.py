@@ -74,3 +74,14 @@ def test_many_blocks(odd_docs, library):
     text = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
     for k in (1, 6, 8, 9):
         assert ids[k] == library.encode(text[k], add_special_tokens=False).ids
+
+
+def test_long_texts_in_pieces(monkeypatch, library):
+    split, text = bpe.Splitter(PATH), "Don't stop\tat 12 ége\nΣΑΣ x<|endoftext|>y  " * 40
+    for odd in (text, text.encode("ascii", "ignore").decode(), "a" * 300, " \n ", ""):
+        whole = split(odd)
+        monkeypatch.setattr(bpe, "PIECE_CHARS", 7)
+        assert split(odd) == whole
+        monkeypatch.undo()
+        ids = [i for w in bpe.WordEncoder(PATH)(whole) for i in w]
+        assert ids == library.encode(odd, add_special_tokens=False).ids
