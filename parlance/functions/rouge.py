@@ -65,7 +65,10 @@ def f_measure(lcs: int, n: int, m: int) -> float:
     return 2.0 * lcs / (n + m) if lcs else 0.0
 
 
-def score(reference: str | None, prediction: str | None, stem: bool = False) -> float:
+def score(reference: str | None, prediction: str | None, stem: bool = False) -> float | None:
+    """F measure of two texts; null (a failed call) gives null, a text without tokens 0."""
+    if reference is None or prediction is None:
+        return None
     a, b = sorted((tokenize(reference, stem), tokenize(prediction, stem)), key=len, reverse=True)
     if not b:
         return 0.0
@@ -130,7 +133,7 @@ def _stemmed(reference: pd.Series, prediction: pd.Series) -> pd.Series:
 
 
 def rouge_l(reference: Column, prediction: Column, stem: bool = False) -> Column:
-    """F measure of two text columns; 0 when either side has no token."""
+    """F measure of two text columns; 0 when either side has no token, null when either is null."""
     return (_stemmed if stem else _plain)(reference, prediction)
 
 

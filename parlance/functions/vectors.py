@@ -40,11 +40,15 @@ def embedding_match(predicted: pd.Series, reference: pd.Series) -> pd.DataFrame:
     """Greedy token matching of two arrays of token vectors.
 
     Each predicted token takes its best cosine among the reference tokens
-    (precision), and the reverse (recall).
+    (precision), and the reverse (recall). A null side (a failed call) gives
+    nulls, an empty one zeros.
     """
     rows = []
     for p, r in zip(predicted, reference):
-        if p is None or r is None or len(p) == 0 or len(r) == 0:
+        if p is None or r is None:
+            rows.append((np.nan,) * 3)
+            continue
+        if len(p) == 0 or len(r) == 0:
             rows.append((0.0, 0.0, 0.0))
             continue
         sims = unit_rows(p) @ unit_rows(r).T

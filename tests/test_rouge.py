@@ -31,7 +31,7 @@ def test_bit_parallel_equals_table(a, b):
 
 CASES = [
     ("big red dog", "big red dog", 1.0), ("big red dog", "one cat", 0.0), ("a b c d", "d c b a", 0.25),
-    ("a a b", "a b b", 2 / 3), ("", "x", 0.0), ("éé", "éé", 0.0), (None, "x", 0.0), ("red bolt", "red ring", 0.5),
+    ("a a b", "a b b", 2 / 3), ("", "x", 0.0), ("éé", "éé", 0.0), ("red bolt", "red ring", 0.5),
     ("one " * 80 + "two", "two " + "one " * 70, 2 * 70 / (81 + 71)),
 ]
 
@@ -41,6 +41,13 @@ def test_score(a, b, want):
     assert rouge.score(a, b) == pytest.approx(want)
 
 
+def test_null_is_not_a_score(spark):
+    assert rouge.score(None, "x") is None and rouge.score("x", None) is None
+    df = spark.createDataFrame([(None, "x"), ("x", None), ("", "x"), ("x", "x")], "a string, b string")
+    got = df.select(rouge.rouge_l(F.col("a"), F.col("b")).alias("p"), rouge.rouge_l(F.col("a"), F.col("b"), stem=True).alias("s"))
+    assert [tuple(r) for r in got.collect()] == [(None, None), (None, None), (0.0, 0.0), (1.0, 1.0)]
+
+
 def test_column_forms_agree(spark):
     rows = spark.createDataFrame([(a, b) for a, b, _ in CASES], "a string, b string")
     from parlance.functions.text import word_tokens
