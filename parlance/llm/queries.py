@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import ann, bpe, language, licenses, mixing, pii, pq, quality, simhash, urls
+from parlance.llm import (
+    ann, bpe, language, licenses, mixing, negatives, pii, pq, quality, simhash, urls, warc, whitening,
+)
 from parlance.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -62,9 +64,26 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixture(table(spark, sf, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf: str) -> DataFrame:
+    records = warc.archived(table(spark, sf, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    out = whitening.whitening(table(spark, sf, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", relabelled), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     q.__name__: q for q in (
-        op1_ann, op2_quality, op3_pq, op4_pii, op5_language, op6_urls, op7_licenses, op8_simhash, op9_bpe, op10_mixing
+        op1_ann, op2_quality, op3_pq, op4_pii, op5_language, op6_urls, op7_licenses, op8_simhash, op9_bpe, op10_mixing,
+        op11_warc, op12_whitening, op13_negatives,
     )
 }
 
@@ -128,4 +147,34 @@ taken AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken,
   CASE WHEN copies > 0 THEN round(CASE WHEN tilt = 0 THEN u
     ELSE (tilt - 1 + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * u)) / (2 * tilt) END, 6) END AS position FROM taken""",
+    "op11_warc": """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes,
+    sha1(coalesce(html, '')) AS h FROM pages),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS place,
+    first_value(page_id) OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS least FROM hashed)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, (i // 4 * 5 + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN least END AS refers_to
+FROM placed""",
+    "op13_negatives": f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES}),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives.NEGATIVES}""",
 }
