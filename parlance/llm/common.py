@@ -31,12 +31,18 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+def share(key: Column, rows: int, of: int) -> Column:
+    """True for about 95 % of ``rows`` in a table of ``of`` rows, by a hash of ``key``; for all of a smaller table."""
+    if of <= rows:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(0.95 * rows / of * (1 << 30))
+
+
 def thinned(df: DataFrame, key: Column, rows: int, of: int) -> DataFrame:
     """At most ``rows`` rows of a table of ``of`` rows, chosen by a hash of ``key``."""
     if of <= rows:
         return df
-    share = int(0.95 * rows / of * (1 << 30))
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share).limit(rows)
+    return df.where(share(key, rows, of)).limit(rows)
 
 
 def packed(df: DataFrame, *columns: Column) -> DataFrame:

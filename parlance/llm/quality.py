@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import fold, packed, prepare, slices, thinned, trigrams
+from parlance.llm.common import fold, packed, prepare, share, slices, thinned, trigrams
 
 POSITIVES, UNLABELLED = 8_000, 12_000
 DIMS, EPOCHS, BATCH, STEP, DECAY = 1024, 40, 512, 0.02, 1e-4
@@ -49,18 +50,22 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights and offset with the least non-negative risk."""
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 0.01
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
+    """Weights and offset with the least non-negative risk.
+
+    The samples stay as they are; only the rows of a step are widened and scaled.
+    """
+    columns = (unlabelled[:, start:end].astype(np.float32) for start, end in slices(unlabelled.shape[1], 64))
+    mean, scale = (np.concatenate(x) for x in zip(*[(c.mean(0), c.std(0) + np.float32(0.01)) for c in columns]))
+    wide = lambda rows: (rows.astype(np.float32) - mean) / scale
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(p.shape[1]), 0.0
+    w, b = np.zeros(positive.shape[1]), 0.0
     first, second, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
     loss = lambda z: 1 / (1 + np.exp(np.clip(z, -30, 30)))  # noqa: E731  sigmoid loss of margin z
     for _ in range(EPOCHS):
-        order = rng.permutation(len(u))
-        for start, end in slices(len(u), BATCH):
-            xu = u[order[start:end]]
-            xp = p[rng.integers(0, len(p), BATCH)]
+        order = rng.permutation(len(unlabelled))
+        for start, end in slices(len(unlabelled), BATCH):
+            xu = wide(unlabelled[order[start:end]])
+            xp = wide(positive[rng.integers(0, len(positive), BATCH)])
             zu, zp = xu @ w + b, xp @ w + b
             negative = loss(-zu).mean() - prior * loss(-zp).mean()
             slope_u, slope_p = loss(zu) * loss(-zu), loss(zp) * loss(-zp)
@@ -77,7 +82,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
             move = STEP * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
             w, b = w - move[:-1], b - move[-1]
     # The offset at which the unlabelled rows' mean score is the prior.
-    z, low, high = u @ w, -50.0, 50.0
+    z = np.concatenate([wide(unlabelled[start:end]) @ w for start, end in slices(len(unlabelled), BATCH)])
+    low, high = -50.0, 50.0
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if (1 - loss(z + middle)).mean() < prior else (low, middle)
@@ -91,19 +97,23 @@ def score_texts(texts: list[bytes], w: np.ndarray, b: float) -> np.ndarray:
     return out
 
 
-def _gathered(rows: DataFrame) -> np.ndarray:
-    """Features of a bounded sample of texts."""
+def _gathered(rows: DataFrame, most: int) -> np.ndarray:
+    """Features, as half floats, of at most ``most`` rows. The texts stay in their tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = features(batch.column(0).cast(pa.binary()).to_pylist()).astype(np.float16)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in found], pa.binary())], ["x"])
 
-    found = rows.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "x binary").toArrow()
-    raw = b"".join(found.column("x").to_pylist())
-    if not raw:
-        return np.zeros((0, DIMS + 4), np.float32)
-    return np.frombuffer(raw, np.float16).reshape(found.num_rows, -1).astype(np.float32)
+    found = rows.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "x binary").limit(most).toArrow()
+    out = np.zeros((found.num_rows, DIMS + 4), np.float16)
+    at = 0
+    for chunk in found.column("x").chunks:
+        for x in chunk:
+            out[at] = np.frombuffer(x.as_buffer(), np.float16)
+            at += 1
+    # Rows arrive in any order; training takes them in one of their own.
+    return out[np.argsort([xxhash.xxh64_intdigest(x.tobytes()) for x in out], kind="stable")] if len(out) else out
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray | None, float]:
@@ -119,8 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
     prior = min(max(prior, 0.01), 0.99)
     corpus = docs.where(learn).select("doc_id", "text")
     trusted = thinned(known.where("label = 1"), F.col("doc_id"), POSITIVES, int(ones)).select("doc_id")
-    positive = _gathered(corpus.join(F.broadcast(trusted), "doc_id"))
-    unlabelled = _gathered(thinned(corpus, F.concat(F.lit("u"), F.col("doc_id")), UNLABELLED, corpus.select("doc_id").count()))
+    positive = _gathered(corpus.join(F.broadcast(trusted), "doc_id"), POSITIVES)
+    some = share(F.concat(F.lit("u"), F.col("doc_id")), UNLABELLED, corpus.select("doc_id").count())
+    unlabelled = _gathered(corpus.where(some), UNLABELLED)
     if not len(positive) or not len(unlabelled):
         return None, prior
     return fit(positive, unlabelled, prior)
