@@ -6,13 +6,13 @@ as Parquet and read again as the next stage's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import bpe, mixing, pii, quality, simhash
 from parlance.llm.common import prepare, table
 from parlance.llm.queries import tokenizer_path
-from parlance.session import materialize
+from parlance.session import lookup_join, materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +36,33 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids of each document of the sequence."""
+    """position, doc_id, lang, source, n_tokens, ids of each document, in the order of the sequence.
+
+    ``position`` is the number of the row in the files of ``docs``, which the
+    stage before wrote in the order of the curriculum.
+    """
     prepare(spark)
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
-    return coded.select("_row.*", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    numbered = in_file_order(docs.select("doc_id", "lang", "source", "text"))
+    coded = bpe.encode(numbered, tokenizer_path())
+    rows = coded.select("_row.*", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    rows = rows.select("position", "doc_id", "lang", "source", "n_tokens", "ids")
+    return rows.repartitionByRange("position").sortWithinPartitions("position")
+
+
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``position``: the row's number from 0, files taken by name.
+
+    Rows that were not read from files are numbered by partition, with gaps.
+    """
+    if not docs.inputFiles():
+        return docs.withColumn("position", F.monotonically_increasing_id())
+    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    # A row per file: no more than the tasks that wrote them.
+    files = rows.groupBy("_file").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(files.select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")), "files")
+    numbered = lookup_join(rows, starts, ["_file"])
+    return numbered.withColumn("position", F.col("_start") + F.col("_at")).drop("_file", "_at", "_start")
 
 
 STAGES = [
@@ -50,7 +73,7 @@ STAGES = [
     ("BPE encoding and decoding", encoding_stage),
 ]
 
-# Trained models, fingerprints and encodings are beyond SQL; the stages are tested against brute force.
+# Trained models, fingerprints and encodings are beyond SQL; tests/llm/test_pipeline.py holds run() against a plain chain.
 ORACLE_SQL = None
 
 
