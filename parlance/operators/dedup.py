@@ -196,7 +196,10 @@ def greedy_filter(
     window: int = FIRST_WINDOW,
     local_items: int = LOCAL_ITEMS,
 ) -> DataFrame:
-    """Rows of ``df`` that the filter keeps. ``pos`` is unique within a group."""
+    """Rows of ``df`` that the filter keeps. ``pos`` is unique within a group.
+
+    A null item counts as one without tokens: similar to nothing, it stays.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     # As JSON, so that a missing group is a group of its own.

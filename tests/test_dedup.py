@@ -9,9 +9,10 @@ from parlance.operators.dedup import greedy_filter
 
 
 def keep_first(items, threshold=0.5):
+    """The loop; a null item is one without tokens, which is like nothing and stays."""
     kept = []
     for item in items:
-        if all(score(item, k) < threshold for k in kept):
+        if all((score(item, k) or 0.0) < threshold for k in kept):
             kept.append(item)
     return kept
 
