@@ -45,7 +45,8 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     numbered = in_file_order(docs.select("doc_id", "lang", "source", "text"))
     coded = bpe.encode(numbered, tokenizer_path())
     rows = coded.select("_row.*", F.size("ids").cast("long").alias("n_tokens"), "ids")
-    rows = rows.select("position", "doc_id", "lang", "source", "n_tokens", "ids")
+    # Written first: a range partitioner reads its input twice.
+    rows = materialize(rows.select("position", "doc_id", "lang", "source", "n_tokens", "ids"), "encoded")
     return rows.repartitionByRange("position").sortWithinPartitions("position")
 
 
