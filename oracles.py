@@ -103,9 +103,9 @@ SELECT run_id, source, metric, round(avg(value), 6) AS mean FROM (
   SELECT source, unnest(['quality', 'toxic']) AS metric, unnest([CAST(quality AS DOUBLE), toxic]) AS value
   FROM labels JOIN documents USING (doc_id)), (VALUES ('one'), ('two')) r(run_id)
 GROUP BY run_id, source, metric"""
-ORACLES["question_store"] = """
+ORACLES["question_store"] = f"""
 SELECT doc_id, lang,
-  (CASE WHEN lang = 'en' THEN 'first ' ELSE 'second ' END) || (length('Dialog - ') + length(text)) AS response
+  (CASE WHEN lang = 'en' THEN 'first ' ELSE 'second ' END) || length({fill(DEFAULT.to_ask_about, dialogue='text')}) AS response
 FROM documents"""
 ORACLES["file_labels"] = """
 SELECT page_id, base, 'some_org_model_x_' || base AS label
@@ -153,7 +153,7 @@ ORACLES["few_shot_attach"] = f"""
 WITH {EXAMPLES}
 SELECT conv_id, turn,
   (SELECT md5({fill(DEFAULT.summary, examples=example_texts(DEFAULT.summary_example, 2))}) FROM examples) AS system,
-  'Dialog:' || chr(10) || text AS user
+  {fill(DEFAULT.to_summarize, dialogue='text')} AS user
 FROM conversations"""
 ORACLES["persona_pairs"] = f"""
 WITH {LISTS}, items AS (
@@ -288,9 +288,9 @@ ORACLES["dialogue_text"] = f"WITH {DIALOGUES} SELECT dialogue_id, dialogue FROM
 # --------------------------------------------------------------------- prompts
 
 ORACLES["sub_topic_prompts"] = f"""
-SELECT s_name, md5({fill(DEFAULT.sub_topics, n='6')}) AS system, 'topic - ' || s_name AS user FROM supplier"""
+SELECT s_name, md5({fill(DEFAULT.sub_topics, n='6')}) AS system, {fill(DEFAULT.subject, topic='s_name')} AS user FROM supplier"""
 ORACLES["persona_prompts"] = f"""
-SELECT p_partkey, md5({fill(DEFAULT.personas, n='5')}) AS system, 'topic - ' || p_name AS user FROM part"""
+SELECT p_partkey, md5({fill(DEFAULT.personas, n='5')}) AS system, {fill(DEFAULT.subject, topic='p_name')} AS user FROM part"""
 
 
 def dialogue_prompt(template: str, count: int) -> str:
@@ -298,7 +298,7 @@ def dialogue_prompt(template: str, count: int) -> str:
     return f"""
 WITH {EXAMPLES}
 SELECT s_suppkey, md5({fill(template, examples=shown, persona_1='s_name', persona_2='n_name')}) AS system,
-  '"domain" - ' || n_name || ' and ' || s_name AS user
+  {fill(DEFAULT.talk_about, topic="n_name || ' and ' || s_name")} AS user
 FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 
 
@@ -306,19 +306,18 @@ ORACLES["dialogue_prompts"] = dialogue_prompt(DEFAULT.dialogue_with_reasoning, 4
 ORACLES["dialogue_prompts_plain"] = dialogue_prompt(DEFAULT.dialogue_plain, 2)
 ORACLES["judge_prompts"] = f"""
 SELECT conv_id, turn, md5({lit(DEFAULT.judge)}) AS system,
-  'Topic: ' || role || chr(10) || 'Persona 1: ' || conv_id || chr(10) || 'Persona 2: ' || turn || chr(10)
-    || 'Dialog: ' || text AS user
+  {fill(DEFAULT.to_assess, topic='role', persona_1='conv_id', persona_2='turn', dialogue='text')} AS user
 FROM conversations"""
 ORACLES["question_prompts"] = f"""
 WITH {DIALOGUES} SELECT dialogue_id, md5({fill(DEFAULT.questions, n='4')}) AS system,
-  'Dialog - ' || dialogue AS user FROM dialogues"""
+  {fill(DEFAULT.to_ask_about, dialogue='dialogue')} AS user FROM dialogues"""
 ORACLES["answer_prompts"] = f"""
 WITH {PAIRS} SELECT conv_id, turn, md5({lit(DEFAULT.answers)}) AS system,
-  'Passage: ' || a || chr(10) || 'Questions: ' || CAST(to_json(string_split(b, chr(10))) AS VARCHAR) AS user FROM pairs"""
+  {fill(DEFAULT.to_answer_from, passage='a', questions='to_json(string_split(b, chr(10)))')} AS user FROM pairs"""
 PROBES = values(list(PROBED_ASPECTS.items())) + " q(metric, question)"
 PROBE_TEXT = fill(DEFAULT.probe, question="question", dialogue="dialogue")
 ORACLES["probe_prompts"] = f"""
-WITH {DIALOGUES} SELECT dialogue_id, metric, md5({PROBE_TEXT}) AS system, 'Answer: Yes' AS assistant
+WITH {DIALOGUES} SELECT dialogue_id, metric, md5({PROBE_TEXT}) AS system, {lit(DEFAULT.probe_reply)} AS assistant
 FROM dialogues, {PROBES}"""
 RATED = values(list(RATED_ASPECTS.items())) + " q(metric, aspect)"
 ORACLES["rubric_prompts"] = f"""
@@ -436,7 +435,7 @@ SELECT 'first_line' AS run_id, id, md5(string_split(context, chr(10))[1]) AS pre
 UNION ALL SELECT 'whole', id, md5(context) FROM c"""
 
 # The stand-in's lists, after the near copies in them are dropped.
-ORACLES["generation_run"] = """
+ORACLES["generation_run"] = f"""
 WITH subs AS (
   SELECT s_name AS t, unnest(['price trends of ' || s_name, 'delivery delays at ' || s_name]) AS s FROM supplier),
 people AS (
@@ -448,7 +447,7 @@ pairs AS (
 said AS (
   SELECT *, '#A#: I think about ' || s || '.' || chr(10) || '#B#: So does ' || p2 || '.' AS d FROM pairs),
 judged AS (
-  SELECT *, length('Topic: ' || s || ' Persona 1: ' || p1 || ' Persona 2: ' || p2 || ' Dialog: ' || d) % 12 AS n FROM said)
+  SELECT *, length({fill(DEFAULT.to_assess, topic='s', persona_1='p1', persona_2='p2', dialogue='d')}) % 12 AS n FROM said)
 SELECT t AS base_topic, s AS sub_topic, p1 AS persona_1, p2 AS persona_2, d AS dialogue, s AS cot,
   'A talk of ' || length(d) || ' characters' AS summary,
   CAST(CASE WHEN n BETWEEN 1 AND 10 THEN n END AS DOUBLE) AS llm_judge_score

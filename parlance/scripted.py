@@ -24,12 +24,25 @@ def _listed(items: list[str]) -> str:
     return "Here you are: " + json.dumps(items, ensure_ascii=False)
 
 
+def _head(template: str) -> str:
+    return template[: template.index("{")]
+
+
+def _slot(template: str, text: str) -> str:
+    """What stands in a template's only slot; empty where the text is of another kind."""
+    before, after = re.split(r"\{[a-z]+\}", template)
+    return text[len(before) : len(text) - len(after)] if text.startswith(before) and text.endswith(after) else ""
+
+
 class ScriptedClient:
+    # Clients of one identity answer alike, as far as stored answers go.
+    identity = "scripted"
+
     def generate(self, batch: list[list[dict]], params: Params) -> list[str]:
         return [self.reply(_content(m, "system"), _content(m, "user")) for m in batch]
 
     def reply(self, system: str, user: str) -> str:
-        rest = user.removeprefix("topic - ") if user.startswith("topic - ") else ""
+        rest = _slot(DEFAULT.subject, user)
         if rest and system.startswith(DEFAULT.sub_topics[:30]):
             return _listed([f"price trends of {rest}", f"trends of price at {rest}", f"delivery delays at {rest}"])
         if rest:
@@ -37,21 +50,22 @@ class ScriptedClient:
                 "A buyer new to the trade", "A buyer new to this trade",
                 f"The clerk counting {len(rest)} crates at night", "Someone else entirely",
             ])
-        if user.startswith('"domain" - '):
-            topic = user.removeprefix('"domain" - ')
+        topic = _slot(DEFAULT.talk_about, user)
+        if topic:
             second = re.search("Second person: (.*)", system)
             return (
                 f"<cot>{topic}</cot>\n<dialogue>#A#: I think about {topic}.\n"
                 f"#B#: So does {second.group(1) if second else ''}.</dialogue>"
             )
-        if user.startswith("Dialog:\n"):
-            return f"A talk of {len(user) - len('Dialog:') - 1} characters"
-        if user.startswith("Topic: "):
+        if user.startswith(_head(DEFAULT.to_summarize)):
+            return f"A talk of {len(_slot(DEFAULT.to_summarize, user))} characters"
+        if user.startswith(_head(DEFAULT.to_assess)):
             return f"Fine.\nScore: {len(user) % 12}"
-        if user.startswith("Dialog - "):
-            return _listed([w for w in user.removeprefix("Dialog - ").split(" ") if w][:3])
-        if user.startswith("Passage: "):
-            passage, _, questions = user.removeprefix("Passage: ").rpartition("\nQuestions: ")
+        if user.startswith(_head(DEFAULT.to_ask_about)):
+            return _listed([w for w in _slot(DEFAULT.to_ask_about, user).split(" ") if w][:3])
+        head, middle, _ = re.split(r"\{[a-z]+\}", DEFAULT.to_answer_from)
+        if user.startswith(head):
+            passage, _, questions = user.removeprefix(head).rpartition(middle)
             return _listed([f"{q} {passage.count(q)}" for q in json.loads(questions)])
         return user.split("\n")[-1]
 
@@ -67,6 +81,9 @@ class ScriptedClient:
     def tokenize(self, batch: list[list[dict]]) -> list[list[int]]:
         return [[len(w) % YES for w in _content(m, "system").split(" ")] + [YES, 0] for m in batch]
 
+    def yes_id(self) -> int:
+        return YES
+
     def logits_at(self, tokens: list[list[int]], positions: list[int]) -> list[list[float]]:
         return [[(p * (v + 1) % 11) / 10 for v in range(VOCABULARY)] for p in positions]
 
@@ -91,6 +108,8 @@ class SecondRun(FirstWord):
 class EchoFirst(ScriptedClient):
     """Predicts the first line of its input."""
 
+    identity = "first line"
+
     def reply(self, system: str, user: str) -> str:
         return user.split("\n")[0]
 
@@ -98,5 +117,7 @@ class EchoFirst(ScriptedClient):
 class EchoAll(ScriptedClient):
     """Predicts its whole input."""
 
+    identity = "whole input"
+
     def reply(self, system: str, user: str) -> str:
         return user

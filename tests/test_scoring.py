@@ -38,7 +38,7 @@ def test_qags(spark):
 def test_unreadable_answers_drop_the_row(spark):
     class Odd(ScriptedClient):
         def reply(self, system, user):
-            if user.startswith("Passage: short"):
+            if user.startswith("Read this.\n\nshort"):
                 return json.dumps(["only one"])
             return super().reply(system, user)
 
