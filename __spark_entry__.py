@@ -23,7 +23,7 @@ from parlance.operators import dedup, diversity, lists, model, reports, sampling
 from parlance.plans import corpus, datasets, generation, quality, scoring  # noqa: E402
 from parlance.scripted import EchoAll, EchoFirst, FirstWord, ScriptedClient, SecondRun  # noqa: E402
 from parlance.session import materialize, scratch_path, ship_package  # noqa: E402
-from parlance.sources import files, tables  # noqa: E402
+from parlance.sources import files, ledger, tables  # noqa: E402
 from parlance.schemas import TEST_CSV  # noqa: E402
 
 SEED = 7
@@ -481,8 +481,7 @@ def _column(metric: str) -> str:
 
 def fed_score(spark, sf):
     """FED of every dialogue, its map of metrics laid out as columns."""
-    rows = quality.fed(dialogues(spark, sf), ScriptedClient)
-    maps = reports.metric_maps(rows, ["dialogue_id"])
+    maps = quality.score(dialogues(spark, sf), quality.fed_scale(), ScriptedClient)
     return maps.select("dialogue_id", *[r6(F.col("metrics")[m]).alias(_column(m)) for m in prompts.FOLLOWUPS])
 
 
@@ -502,6 +501,64 @@ def quality_metrics(spark, sf):
     return reports.report(rows, ["family"]).select("family", "metric", F.round("mean", 5).alias("mean"))
 
 
+class Moody(ScriptedClient):
+    """Fails on every dialogue whose length is a multiple of seven."""
+
+    def rating_logits(self, batch):
+        if any(len(m[-1]["content"]) % 7 == 0 for m in batch):
+            raise RuntimeError("overloaded")
+        return super().rating_logits(batch)
+
+
+class Even(ScriptedClient):
+    """Rates all alike, so what it was asked can be told from what was stored."""
+
+    def rating_logits(self, batch):
+        return [[0.0, 0.0, 0.0] for _ in batch]
+
+
+def score_ledger(spark, sf):
+    """G-Eval in three runs over one ledger: some dialogues fail, another client scores those, a third finds nothing to do."""
+    path, rows = scratch_path(spark, "ledger"), materialize(dialogues(spark, sf), "dialogues")
+    out = None
+    for run, client in (("first", Moody), ("second", Even), ("third", Moody)):
+        part = materialize(quality.score(rows, quality.rubric_scale(), client, path), "scores")
+        part = part.select(F.lit(run).alias("run"), "dialogue_id", r6(F.col("metrics")["coherence"]).alias("coherence"), "error")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def score_counts(spark, sf):
+    """Scored and missing dialogues by metric after a run with failures, and the ledger's rows after three."""
+    path, rows = scratch_path(spark, "ledger"), materialize(dialogues(spark, sf), "dialogues")
+    first = None
+    for client in (Moody, Even, Moody):
+        scores = materialize(quality.score(rows, quality.rubric_scale(), client, path), "scores")
+        first = scores if first is None else first
+    counts = reports.report(quality.long_rows(first).withColumn("run", F.lit("first")), ["run"])
+    stored = ledger.Ledger(spark, path, "array<double>").load().agg(
+        F.lit("all").alias("run"), F.lit("rows").alias("metric"), F.count(F.when(F.col("error").isNull(), 1)).alias("scored"),
+        F.count("error").alias("missing"),
+    )
+    return counts.select("run", "metric", "scored", "missing").unionByName(stored)
+
+
+def vector_ledger(spark, sf):
+    """Vectors of all turns, of which the user's were stored before."""
+    path, turns = scratch_path(spark, "vectors"), table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    key = ["conv_id", "turn"]
+    model.embeddings(turns.where("role = 'user'"), key, F.col("text"), ScriptedClient, path)
+    rows = model.embeddings(turns, key, F.col("text"), Doubled, path)
+    return rows.select(*key, r6(F.get("value", F.lit(0)).cast("double")).alias("e"), F.size("value").alias("size"))
+
+
+class Doubled(ScriptedClient):
+    """Vectors of twice the length."""
+
+    def embed(self, texts):
+        return [[2 * x for x in v] for v in super().embed(texts)]
+
+
 def _qas(spark, sf):
     rows = document_rows(spark, sf)
     return materialize(scoring.qa_rows(rows, ScriptedClient), "qas")
@@ -576,7 +633,7 @@ QUERIES = [
     sub_topic_prompts, persona_prompts, dialogue_prompts, dialogue_prompts_plain, judge_prompts, question_prompts,
     answer_prompts, probe_prompts, rubric_prompts,
     cosine_pairs, embedding_match_f1, yes_probability, last_yes_position, expected_rating,
-    fed_score, gpt_score, g_eval, quality_metrics, qags, qags_chunked, summary_scores, prediction_file_scores,
+    fed_score, gpt_score, g_eval, quality_metrics, score_ledger, score_counts, vector_ledger, qags, qags_chunked, summary_scores, prediction_file_scores,
     response_predictions, run_compare, generation_run,
 ]
 

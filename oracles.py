@@ -380,6 +380,23 @@ SELECT family, metric, round(avg(value), 5) AS mean FROM (
   UNION ALL SELECT 'gpt_score', metric, value FROM gpt UNION ALL SELECT 'g_eval', metric, value FROM rated)
 GROUP BY family, metric"""
 
+# A dialogue fails in the first run where its length divides by seven; the second client rates all 2.
+ORACLES["score_ledger"] = f"""
+WITH {DIALOGUES}, {EVAL_ROWS}, one AS (SELECT dialogue_id, round(value, 6) AS coherence FROM rated WHERE metric = 'coherence'),
+runs(run) AS (VALUES ('first'), ('second'), ('third'))
+SELECT run, dialogue_id,
+  CASE WHEN length(dialogue) % 7 <> 0 THEN coherence WHEN run <> 'first' THEN CAST(2.0 AS DOUBLE) END AS coherence,
+  CASE WHEN length(dialogue) % 7 = 0 AND run = 'first' THEN 'RuntimeError: overloaded' END AS error
+FROM dialogues JOIN one USING (dialogue_id), runs"""
+ORACLES["score_counts"] = f"""
+WITH {DIALOGUES}, n AS (
+  SELECT count(*) FILTER (length(dialogue) % 7 <> 0) AS good, count(*) FILTER (length(dialogue) % 7 = 0) AS bad FROM dialogues)
+SELECT 'first' AS run, metric, good AS scored, bad AS missing FROM n, {RATED}
+UNION ALL SELECT 'all', 'rows', good + bad, bad FROM n"""
+ORACLES["vector_ledger"] = """
+SELECT conv_id, turn, CAST((length(text) - length(replace(text, 'e', ''))) * CASE role WHEN 'user' THEN 1 ELSE 2 END AS DOUBLE) AS e,
+  16 AS size FROM conversations"""
+
 
 def match(a: str, b: str) -> str:
     """Cosine of two token vectors (length of the word, 1)."""

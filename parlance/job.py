@@ -36,7 +36,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     run.add_argument("--disable-metrics", action="store_true")
     run.add_argument("--seed", type=int, default=0)
     run.add_argument("--attempt", type=int, default=0)
-    run.add_argument("--yes-id", type=int, default=0)
+    run.add_argument("--yes-id", type=int, help="token of 'yes'; by default the client tells it")
     run.add_argument("--partitions", type=int, help="most model calls at a time")
     run.add_argument("--csv", help="also export the dialogues, without metrics, as CSV")
     div = commands.add_parser("diversity")

@@ -11,19 +11,23 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from parlance.functions.prompts import Params
 from parlance.schemas import RESPONSE
 from parlance.session import scratch_path
-from parlance.sources.tables import ResponseStore
+from parlance.sources.ledger import Ledger, request_key
 
 
 class Client(Protocol):
     """What a model backend offers. Only the used methods are needed.
 
-    Every method takes a batch and returns one result per entry, in order.
+    Every method but ``yes_id`` takes a batch and returns one result per entry,
+    in order. ``identity``, where a client has it, names the model whose stored
+    answers it may reuse; without it they are kept by the name of the class.
     """
 
     def generate(self, batch: list[list[dict]], params: Params) -> list[str]: ...
@@ -36,6 +40,8 @@ class Client(Protocol):
 
     def tokenize(self, batch: list[list[dict]]) -> list[list[int]]: ...
 
+    def yes_id(self) -> int: ...
+
     def logits_at(self, tokens: list[list[int]], positions: list[int]) -> list[list[float]]: ...
 
     def rating_logits(self, batch: list[list[dict]]) -> list[list[float]]: ...
@@ -66,14 +72,6 @@ def each_or_batch(call: Callable[[list], list], batch: list) -> tuple[list, list
     return results, errors
 
 
-def request_id(stage: str, key: list[str], messages: str, params: Params) -> Column:
-    """Hash of stage, row key, messages and settings."""
-    return F.md5(F.to_json(F.struct(
-        F.lit(stage).alias("stage"), *key, F.col(messages).alias("messages"),
-        F.lit(params.key()).alias("params"),
-    )))
-
-
 def run_requests(
     requests: DataFrame,
     client: ClientFactory,
@@ -106,7 +104,7 @@ def run_requests(
         return spread.mapInPandas(run, RESPONSE)
 
     where = store or scratch_path(spark, "responses")
-    return ResponseStore(spark, where, RESPONSE).fill(asked, answer)
+    return Ledger(spark, where, "string", "response").fill(asked, answer)
 
 
 def generate(
@@ -120,11 +118,76 @@ def generate(
     partitions: int | None = None,
 ) -> DataFrame:
     """``df`` with ``response`` and ``error``; ``key`` identifies its rows."""
-    asked = df.withColumn("messages", messages).withColumn(
-        "request_id", request_id(stage, key, "messages", params)
-    )
-    answers = run_requests(asked, client, params, store, partitions)
-    return asked.drop("messages").join(answers, "request_id").drop("request_id")
+    request = request_key(client, stage, params.key(), *key, messages.alias("messages"))
+    keyed = df.withColumn("request_id", request)
+    answers = run_requests(keyed.select("request_id", messages.alias("messages")), client, params, store, partitions)
+    return keyed.join(answers, "request_id").drop("request_id")
+
+
+# (client, rows of the inputs) -> one value and one error per row
+Measure = Callable[[Client, list[dict]], tuple[list, list]]
+
+
+def measured(
+    df: DataFrame,
+    stage: str,
+    key: list[str],
+    inputs: dict[str, Column],
+    client: ClientFactory,
+    measure: Measure,
+    returns: str,
+    settings: str = "",
+    store: str | None = None,
+    partitions: int | None = None,
+    batch_size: int = 16,
+) -> DataFrame:
+    """key, value, error: a score or vector of every row, by ``measure`` over ``inputs``.
+
+    Results go to the ledger at ``store`` and are asked for once. ``measure``
+    isolates failures to their row (or to parts of a row's value).
+    """
+    spark = df.sparkSession
+    columns = [c.alias(n) for n, c in inputs.items()]
+    ids = request_key(client, stage, settings, *key, *columns)
+    asked = df.select(ids.alias("request_id"), *columns)
+    ledger = Ledger(spark, store or scratch_path(spark, "scores"), returns)
+    # The ledger's schema as Arrow sees it, so that missing values and parts stay missing.
+    shape = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in ledger.schema])
+
+    def answer(todo: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = None
+            for batch in batches:
+                for lo in range(0, batch.num_rows, batch_size):
+                    part = batch.slice(lo, batch_size).to_pylist()
+                    model = model or client()
+                    values, errors = measure(model, part)
+                    names = [r["request_id"] for r in part]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, f.type) for x, f in zip((names, values, errors), shape)], schema=shape
+                    )
+
+        spread = todo.repartition(partitions, "request_id") if partitions else todo
+        return spread.mapInArrow(run, ledger.schema)
+
+    results = ledger.fill(asked, answer)
+    return df.select(*key, ids.alias("request_id")).join(results, "request_id").drop("request_id")
+
+
+def embeddings(
+    df: DataFrame, key: list[str], text: Column, client: ClientFactory, store: str | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """key, value (array<float>), error: the vector of every text; null for a null text."""
+
+    def measure(model: Client, rows: list[dict]) -> tuple[list, list]:
+        values, errors = [None] * len(rows), [None] * len(rows)
+        some = [i for i, r in enumerate(rows) if r["text"] is not None]
+        for i, value, error in zip(some, *each_or_batch(model.embed, [rows[i]["text"] for i in some])):
+            values[i], errors[i] = None if value is None else list(value), error
+        return values, errors
+
+    return measured(df, "embed", key, {"text": text}, client, measure, "array<float>", "", store, partitions)
 
 
 def _scorer(method: str, returns: str, client: ClientFactory):
@@ -151,40 +214,5 @@ def _plain(value):
     return [dict(v) if isinstance(v, dict) else v for v in value]
 
 
-def sequence_loss(text: Column, client: ClientFactory) -> Column:
-    return _scorer("loss", "double", client)(text)
-
-
-def embed(text: Column, client: ClientFactory) -> Column:
-    return _scorer("embed", "array<float>", client)(text)
-
-
 def token_vectors(text: Column, client: ClientFactory) -> Column:
     return _scorer("token_vectors", "array<array<float>>", client)(text)
-
-
-def tokenize(messages: Column, client: ClientFactory) -> Column:
-    return _scorer("tokenize", "array<int>", client)(messages)
-
-
-def rating_logits(messages: Column, client: ClientFactory) -> Column:
-    return _scorer("rating_logits", "array<double>", client)(messages)
-
-
-def logits_at(tokens: Column, position: Column, client: ClientFactory) -> Column:
-    """Logits at a position of each token list; null where it has none."""
-
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = None
-        for lists, places in batches:
-            model = model or client()
-            out: list = [None] * len(lists)
-            rows = [i for i, p in enumerate(places) if lists.iloc[i] is not None and not pd.isna(p)]
-            entries = [(list(lists.iloc[i]), int(places.iloc[i])) for i in rows]
-            call = lambda b: model.logits_at([t for t, _ in b], [p for _, p in b])
-            for i, value in zip(rows, each_or_batch(call, entries)[0]):
-                out[i] = value
-            yield pd.Series(out, dtype="object")
-
-    return run(tokens, position)

@@ -36,8 +36,14 @@ def long_metrics(wide: DataFrame, keys: list[str], metrics: list[str]) -> DataFr
 
 
 def report(rows: DataFrame, run: list[str]) -> DataFrame:
-    """Mean of each metric per run. Partial means form before the shuffle, so few runs do no harm."""
-    return rows.groupBy(*run, "metric").agg(F.avg("value").alias("mean"))
+    """run, metric, mean, scored, missing: the mean of each metric's values, and how many there are and are not.
+
+    Partial means form before the shuffle, so few runs do no harm.
+    """
+    there = F.count("value")
+    return rows.groupBy(*run, "metric").agg(
+        F.avg("value").alias("mean"), there.alias("scored"), (F.count(F.lit(1)) - there).alias("missing")
+    )
 
 
 def mean_by_document(scores: DataFrame, key: str, value: str) -> DataFrame:

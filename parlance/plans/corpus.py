@@ -16,16 +16,17 @@ from parlance.sources.tables import append_report
 
 
 def corpus_diversity(
-    rows: DataFrame, file: str, order: list[str], text: str, client: ClientFactory, k: int = FILE_ROWS
+    rows: DataFrame, file: str, order: list[str], text: str, client: ClientFactory, k: int = FILE_ROWS,
+    store: str | None = None,
 ) -> DataFrame:
     """file, rows, rouge, cosine: means of the row maxima; null for a single row.
 
     The texts are embedded once and written before the quadratic step.
     """
     kept = first_k(rows.na.drop(subset=[text]).select(file, *order, text), [file], order, k, "_pos")
-    encoded = materialize(
-        kept.select(file, "_pos", text, model.embed(F.col(text), client).alias("_vector")), "encoded"
-    )
+    kept = materialize(kept, "kept")
+    vectors = model.embeddings(kept, [file, "_pos"], F.col(text), client, store)
+    encoded = materialize(kept.join(vectors.withColumnRenamed("value", "_vector"), [file, "_pos"]), "encoded")
     by_words = rouge_row_maxima(encoded, file, "_pos", text)
     by_vectors = cosine_row_maxima(encoded.where(F.col("_vector").isNotNull()), file, "_pos", "_vector")
     # Both are keyed by (file, row), so the join has no hot key.

@@ -20,7 +20,7 @@ from parlance.operators import model
 from parlance.operators.lists import check_count, drop_repeated, explode_pairs, truncate
 from parlance.operators.model import ClientFactory
 from parlance.operators.sampling import sample_few
-from parlance.plans.quality import Family, attach_metrics, calculate_metrics, families
+from parlance.plans.quality import Family, attach_metrics, families, metric_errors, metric_rows, metric_tables
 from parlance.session import lookup_join
 from parlance.sources.tables import finished, save_counted, save_stage
 
@@ -53,7 +53,7 @@ class Run:
     seed: int = 0
     attempt: int = 0
     partitions: int | None = None
-    yes_id: int = 0
+    yes_id: int | None = None
     templates: prompts.Templates = prompts.DEFAULT
     registry: dict[str, Family] | None = None
     counts: dict[str, int] = field(default_factory=dict)
@@ -186,10 +186,11 @@ def judge_step(run: Run, dialogues: DataFrame) -> DataFrame:
 
 
 def metric_step(run: Run, dialogues: DataFrame) -> DataFrame:
-    registry = run.registry or families(run.client, run.yes_id)
-    rows, run.metric_errors = calculate_metrics(dialogues, registry)
-    run.save("metric_rows", rows)
-    return run.save("metrics", attach_metrics(dialogues, run.table("metric_rows"), list(registry)))
+    registry = run.registry or families(run.client, run.yes_id, run.path("scores"))
+    tables, run.metric_errors = metric_tables(dialogues, registry)
+    run.save("metric_rows", metric_rows(dialogues, tables))
+    run.save("errors/metrics", metric_errors(dialogues, tables))
+    return run.save("metrics", attach_metrics(dialogues, tables, list(registry)))
 
 
 def latest(run: Run, names: list[str]) -> DataFrame:

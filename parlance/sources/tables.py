@@ -1,12 +1,9 @@
-"""Stage tables, reports and the store of model responses."""
+"""Stage tables and reports."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -58,36 +55,3 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def append_report(report: DataFrame, path: str) -> None:
     report.write.mode("append").parquet(path)
-
-
-class ResponseStore:
-    """Append-only table of finished requests.
-
-    Request ids hash everything that was asked, so a changed input is a new
-    request and an interrupted job continues with what is missing.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def load(self) -> DataFrame:
-        if not exists(self.spark, self.path):
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def missing(self, requests: DataFrame) -> DataFrame:
-        """Requests without a successful answer. The ids are unique, hence free of skew."""
-        done = self.load().where(F.col("error").isNull()).select("request_id")
-        return requests.join(done, "request_id", "left_anti")
-
-    def fill(self, requests: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Answer the missing requests, append, and return the store's answers, one per id."""
-        answer(self.missing(requests)).select(*self.schema.names).write.mode("append").parquet(self.path)
-        answers = self.load()
-        # A retried request has an error row before its answer. The text breaks
-        # ties, so every evaluation picks the same row.
-        return answers.groupBy("request_id").agg(
-            F.min_by(
-                F.struct("response", "error"), F.struct(F.col("error").isNotNull(), "response", "error")
-            ).alias("_r")
-        ).select("request_id", "_r.response", "_r.error")
