@@ -621,6 +621,88 @@ def generation_run(spark, sf):
                       F.col("llm_judge_score").cast("double").alias("llm_judge_score"))
 
 
+def _two_runs(spark, sf):
+    """A folder with a whole run over all suppliers, then one without judge over the even ones."""
+    folder, seeds, topics = scratch_path(spark, "run"), document_rows(spark, sf), _topics(spark, sf)
+    make = lambda run_id, **options: generation.Run(
+        spark, folder, ScriptedClient, n_sub_topics=1, n_personas=3, run_id=run_id, **options)
+    generation.execute(make("one", disable_metrics=True), topics, seeds)
+    generation.execute(make("two", disable_judge=True, disable_metrics=True), topics.where("topic_pos % 2 = 0"), seeds)
+    return make
+
+
+def stage_manifest(spark, sf):
+    """Tables of two runs with their rows and parents, and the one that each later stage would start from."""
+    manifest = _two_runs(spark, sf)("look").manifest
+    starts = {stage: manifest.current(names) for stage, names in generation.STARTS.items()}
+    made = manifest.table().where("state = 'committed' and name not like 'errors/%'")
+    parents = made.select(F.col("version").alias("parent"), F.col("name").alias("made_from"))
+    rows = made.join(parents, "parent", "left").select("run_id", "name", "made_from", "rows", "version")
+    begins = F.array(*[F.when(F.col("version") == r.version, F.lit(stage)) for stage, r in starts.items()])
+    return rows.withColumn("starts", F.array_join(begins, ",")).drop("version")
+
+
+def stage_summary(spark, sf):
+    """Summaries written anew, then judged, from the dialogues of the second run."""
+    out = generation.execute(_two_runs(spark, sf)("three", stage="summary", disable_metrics=True), seeds=document_rows(spark, sf))
+    return out.select("sub_topic", "persona_1", "persona_2", "summary", F.col("llm_judge_score").cast("double").alias("llm_judge_score"))
+
+
+def stage_judge(spark, sf):
+    """Judge scores added to the second run's summaries."""
+    out = generation.execute(_two_runs(spark, sf)("three", stage="llm_judge", disable_metrics=True))
+    return out.select("sub_topic", "persona_1", "persona_2", "summary", F.col("llm_judge_score").cast("double").alias("llm_judge_score"))
+
+
+def stage_metrics(spark, sf):
+    """Metrics of the second run's dialogues. The first run's judged table is not read."""
+    run = _two_runs(spark, sf)("three", stage="metrics", registry={
+        "g_eval": lambda d: quality.score(d, quality.rubric_scale(), ScriptedClient)})
+    out = generation.execute(run)
+    return out.select("sub_topic", "persona_2", r6(F.col("g_eval")["coherence"]).alias("coherence"),
+                      F.lit("llm_judge_score" in out.columns).alias("judged"))
+
+
+class OddPersonas(ScriptedClient):
+    """Gives no list of personas for sub-topics that end in an odd digit, and no dialogue with a night clerk."""
+
+    identity = "odd personas"
+
+    def reply(self, system, user):
+        told = user.removesuffix(".")
+        if system.startswith(prompts.DEFAULT.personas[:8]) and told[-1] in "13579":
+            return "I would rather not"
+        if "<dialogue>" in system and "Second person: The clerk" in system and told[-1] == "2":
+            raise RuntimeError("too late at night")
+        return super().reply(system, user)
+
+
+def _odd_run(spark, sf, **options):
+    run = generation.Run(spark, scratch_path(spark, "run"), OddPersonas, n_sub_topics=3, n_personas=4, disable_judge=True,
+                         disable_metrics=True, **options)
+    generation.execute(run, _topics(spark, sf), document_rows(spark, sf))
+    return run
+
+
+def drop_scope(spark, sf):
+    """Dialogues per topic when any failure drops the whole topic."""
+    return _odd_run(spark, sf, drop_scope="base_topic").table("dialogues").groupBy("base_topic").agg(F.count("*").alias("dialogues"))
+
+
+def progress_counts(spark, sf):
+    """Rows of each table of a run, as the writes counted them."""
+    return _odd_run(spark, sf).manifest.table().where("state = 'committed'").select("name", "rows")
+
+
+def persona_groups(spark, sf):
+    """Personas by sub-topic; suppliers are topics of one name per nation, so equal sub-topics meet."""
+    topics = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = topics.select(F.lit(0).alias("topic_pos"), F.lit("ports").alias("base_topic"), F.col("s_suppkey").cast("int").alias("sub_pos"),
+                         F.concat("n_name", F.lit(" port "), (F.col("s_suppkey") % 40).cast("string")).alias("sub_topic"))
+    run = generation.Run(spark, scratch_path(spark, "run"), ScriptedClient, n_personas=4)
+    return generation.persona_step(run, rows).select("sub_topic", joined(F.col("personas")).alias("personas"))
+
+
 # The registered queries, by name.
 QUERIES = [
     topic_source, seed_source, csv_roundtrip, corpus_split, stage_save, metric_report, question_store, file_labels,
@@ -634,7 +716,8 @@ QUERIES = [
     answer_prompts, probe_prompts, rubric_prompts,
     cosine_pairs, embedding_match_f1, yes_probability, last_yes_position, expected_rating,
     fed_score, gpt_score, g_eval, quality_metrics, score_ledger, score_counts, vector_ledger, qags, qags_chunked, summary_scores, prediction_file_scores,
-    response_predictions, run_compare, generation_run,
+    response_predictions, run_compare, generation_run, stage_manifest, stage_summary, stage_judge, stage_metrics,
+    drop_scope, progress_counts, persona_groups,
 ]
 
 

@@ -469,3 +469,39 @@ SELECT t AS base_topic, s AS sub_topic, p1 AS persona_1, p2 AS persona_2, d AS d
   'A talk of ' || length(d) || ' characters' AS summary,
   CAST(CASE WHEN n BETWEEN 1 AND 10 THEN n END AS DOUBLE) AS llm_judge_score
 FROM judged"""
+
+# Two runs with one sub-topic and three personas, of which the second is like the first: one pair of people a topic.
+TWO_RUNS = f"""said AS (
+  SELECT s_suppkey % 2 = 0 AS even, 'price trends of ' || s_name AS s, 'A buyer new to the trade' AS p1,
+    'The clerk counting ' || length('price trends of ' || s_name) || ' crates at night' AS p2 FROM supplier),
+talks AS (SELECT *, '#A#: I think about ' || s || '.' || chr(10) || '#B#: So does ' || p2 || '.' AS d FROM said)"""
+JUDGED = f"""
+WITH {TWO_RUNS}, n AS (
+  SELECT *, length({fill(DEFAULT.to_assess, topic='s', persona_1='p1', persona_2='p2', dialogue='d')}) % 12 AS n FROM talks WHERE even)
+SELECT s AS sub_topic, p1 AS persona_1, p2 AS persona_2, 'A talk of ' || length(d) || ' characters' AS summary,
+  CAST(CASE WHEN n BETWEEN 1 AND 10 THEN n END AS DOUBLE) AS llm_judge_score FROM n"""
+ORACLES["stage_summary"] = ORACLES["stage_judge"] = JUDGED
+ORACLES["stage_metrics"] = f"""
+WITH {TWO_RUNS}, rated AS (SELECT s, p2, {RATING} FROM (SELECT s, p2, length(d) AS n FROM talks WHERE even))
+SELECT s AS sub_topic, p2 AS persona_2, round((x + 2 * y + 3 * z) / (x + y + z), 6) AS coherence, false AS judged FROM rated"""
+ORACLES["stage_manifest"] = """
+WITH n AS (SELECT count(*) AS a, count(*) FILTER (s_suppkey % 2 = 0) AS e FROM supplier),
+steps(name, made_from, starts) AS (VALUES ('sub_topics', NULL, ''), ('personas', 'sub_topics', ''),
+  ('dialogues', 'personas', 'summary'), ('summaries', 'dialogues', 'llm_judge,metrics'), ('judged', 'summaries', ''))
+SELECT 'one' AS run_id, name, made_from, a AS rows, '' AS starts FROM steps, n
+UNION ALL SELECT 'two', name, made_from, e, starts FROM steps, n WHERE name <> 'judged'"""
+# Three personas stay of four; a name ending in 2 loses the pair (buyer, clerk).
+ODD_TOPICS = """topics AS (
+  SELECT s_name AS t, CAST(s_name[-1] AS INTEGER) % 2 = 1 AS odd, s_name[-1] = '2' AS two FROM supplier)"""
+ORACLES["drop_scope"] = f"""
+WITH {ODD_TOPICS} SELECT t AS base_topic, count(*) * 6 AS dialogues FROM topics WHERE NOT odd AND NOT two GROUP BY t"""
+ORACLES["progress_counts"] = f"""
+WITH {ODD_TOPICS}, n AS (
+  SELECT count(*) AS a, count(*) FILTER (odd) AS o, count(*) FILTER (two) AS w FROM topics)
+SELECT unnest(['errors/sub_topics', 'sub_topics', 'errors/personas', 'personas', 'errors/dialogues', 'dialogues', 'errors/summary', 'summaries']) AS name,
+  unnest([0, 2 * a, 2 * o, 2 * (a - o), 2 * w, 6 * (a - o) - 2 * w, 0, 6 * (a - o) - 2 * w]) AS rows FROM n"""
+ORACLES["persona_groups"] = """
+WITH subs AS (
+  SELECT n_name || ' port ' || s_suppkey % 40 AS s, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY s)
+SELECT s AS sub_topic, repeat('A buyer new to the trade|The clerk counting ' || length(s) || ' crates at night|Someone else entirely|', n)[:-2] AS personas
+FROM subs"""

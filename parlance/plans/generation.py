@@ -3,11 +3,14 @@ judge scores and metrics, with a stage table after every step.
 
 Each step reads the table before it, and model answers come from a written
 store, so no model call hides in a plan that Spark may evaluate twice. A row
-that fails goes to the error table; the others continue.
+that fails goes to the error table; the others continue. The manifest of the
+folder says which table was made from which, and a later stage starts from the
+newest one that stems from the present dialogues.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -22,7 +25,7 @@ from parlance.operators.model import ClientFactory
 from parlance.operators.sampling import sample_few
 from parlance.plans.quality import Family, attach_metrics, families, metric_errors, metric_rows, metric_tables
 from parlance.session import lookup_join
-from parlance.sources.tables import finished, save_counted, save_stage
+from parlance.sources.manifest import Manifest
 
 # Stages, and the steps each of them runs.
 STAGES = {
@@ -31,6 +34,14 @@ STAGES = {
     "llm_judge": ("judge", "metrics"),
     "metrics": ("metrics",),
 }
+# Tables that a later stage may start from.
+STARTS = {
+    "summary": ["dialogues"],
+    "llm_judge": ["summaries", "dialogues"],
+    "metrics": ["judged", "summaries", "dialogues"],
+}
+# The table at which the lineage of the later stages ends.
+ROOT = "dialogues"
 # Fixed value: worked examples drawn from the seed dialogues.
 EXAMPLES = 4
 
@@ -39,7 +50,10 @@ DIALOGUE_KEY = ["topic_pos", "base_topic", "sub_topic", "pos_1", "pos_2", "perso
 
 @dataclass
 class Run:
-    """Settings of a run. ``attempt`` asks the model anew for equal requests."""
+    """Settings of a run. ``attempt`` asks the model anew for equal requests.
+
+    ``head`` is the version of the table that the next one is made from.
+    """
 
     spark: SparkSession
     out: str
@@ -56,6 +70,8 @@ class Run:
     yes_id: int | None = None
     templates: prompts.Templates = prompts.DEFAULT
     registry: dict[str, Family] | None = None
+    run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
+    head: str | None = None
     counts: dict[str, int] = field(default_factory=dict)
     step_errors: dict[str, str] = field(default_factory=dict)
     metric_errors: dict[str, str] = field(default_factory=dict)
@@ -66,14 +82,21 @@ class Run:
         if self.drop_scope not in ("row", "base_topic"):
             raise ValueError(f"invalid drop_scope: {self.drop_scope}")
 
+    @property
+    def manifest(self) -> Manifest:
+        return Manifest(self.spark, self.out, ROOT)
+
     def path(self, table: str) -> str:
         return f"{self.out}/{table}"
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def save(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        table, self.counts[name] = save_counted(df, self.path(name), partition_by)
+    def save(self, name: str, df: DataFrame, next_head: bool = False) -> DataFrame:
+        """Write a stage table made from the head; with ``next_head`` later tables are made from it."""
+        table, self.counts[name], version = self.manifest.save(name, df, self.run_id, self.head)
+        if next_head:
+            self.head = version
         return table
 
     def ask(self, df: DataFrame, stage: str, key: list[str], messages: Column, params) -> DataFrame:
@@ -120,7 +143,7 @@ def sub_topic_step(run: Run, topics: DataFrame) -> DataFrame:
     request = prompts.sub_topic_request(F.col("base_topic"), n, run.templates)
     lists = list_step(run, topics, "sub_topics", topics.columns, request, prompts.SUB_TOPIC_PARAMS, n)
     rows = lists.select("topic_pos", "base_topic", F.posexplode("items").alias("sub_pos", "sub_topic"))
-    return run.save("sub_topics", rows)
+    return run.save("sub_topics", rows, True)
 
 
 def persona_step(run: Run, sub_topics: DataFrame) -> DataFrame:
@@ -134,7 +157,7 @@ def persona_step(run: Run, sub_topics: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("sub_pos", "items"))), lambda e: e["items"]
         )).alias("personas")
     )
-    return run.save("personas", merged)
+    return run.save("personas", merged, True)
 
 
 def failed_topics(run: Run, stages: list[str]) -> DataFrame:
@@ -161,7 +184,7 @@ def dialogue_step(run: Run, personas: DataFrame, seeds: DataFrame) -> DataFrame:
         failed = failed_topics(run, ["sub_topics", "personas", "dialogues"])
         rows = lookup_join(rows, failed, ["topic_pos", "base_topic"], "left_anti", F.col("dialogue_id"))
     # Large topics are written by many tasks, so no topic is one file or one task.
-    return run.save("dialogues", rows)
+    return run.save("dialogues", rows, True)
 
 
 def summary_step(run: Run, dialogues: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -170,7 +193,7 @@ def summary_step(run: Run, dialogues: DataFrame, seeds: DataFrame) -> DataFrame:
     answered = run.ask(with_examples, "summary", ["dialogue_id"], request, prompts.SUMMARY_PARAMS)
     run.quarantine("summary", answered, F.col("error"))
     rows = answered.select(*dialogues.columns, F.col("response").alias("summary"))
-    return run.save("summaries", rows)
+    return run.save("summaries", rows, True)
 
 
 def judge_step(run: Run, dialogues: DataFrame) -> DataFrame:
@@ -182,7 +205,7 @@ def judge_step(run: Run, dialogues: DataFrame) -> DataFrame:
     missing = F.when(F.col("llm_judge_score").isNull(), F.lit("no score"))
     run.quarantine("judge", scored, F.coalesce(F.col("error"), missing))
     rows = scored.select(*dialogues.columns, "llm_judge_score", F.col("response").alias("judge_raw"))
-    return run.save("judged", rows)
+    return run.save("judged", rows, True)
 
 
 def metric_step(run: Run, dialogues: DataFrame) -> DataFrame:
@@ -190,14 +213,16 @@ def metric_step(run: Run, dialogues: DataFrame) -> DataFrame:
     tables, run.metric_errors = metric_tables(dialogues, registry)
     run.save("metric_rows", metric_rows(dialogues, tables))
     run.save("errors/metrics", metric_errors(dialogues, tables))
-    return run.save("metrics", attach_metrics(dialogues, tables, list(registry)))
+    return run.save("metrics", attach_metrics(dialogues, tables, list(registry)), True)
 
 
 def latest(run: Run, names: list[str]) -> DataFrame:
-    for name in names:
-        if finished(run.spark, run.path(name)):
-            return run.table(name)
-    raise FileNotFoundError(f"no stage table of {names} in {run.out}")
+    """The newest of the named tables that was made, step by step, from the present dialogues."""
+    record = run.manifest.current(names)
+    if record is None:
+        raise FileNotFoundError(f"no stage table of {names} in {run.out}")
+    run.head = record.version
+    return run.table(record.name)
 
 
 def isolated(run: Run, name: str, current: DataFrame, step: Callable[[], DataFrame]) -> DataFrame:
@@ -226,13 +251,9 @@ def execute(
         sub_topics = sub_topic_step(run, topics)
         current = dialogue_step(run, persona_step(run, sub_topics), seeds)
     elif dialogues is not None:
-        current = save_stage(dialogues, run.path("dialogues"))
-    elif "summary" in steps:
-        current = latest(run, ["dialogues"])
-    elif "judge" in steps:
-        current = latest(run, ["summaries", "dialogues"])
+        current = run.save("dialogues", dialogues, True)
     else:
-        current = latest(run, ["judged", "summaries", "dialogues"])
+        current = latest(run, STARTS[run.stage])
     if "summary" in steps:
         if seeds is None:
             raise ValueError("seeds are required")
