@@ -23,7 +23,7 @@ from parlance.operators import dedup, diversity, lists, model, reports, sampling
 from parlance.plans import corpus, datasets, generation, quality, scoring  # noqa: E402
 from parlance.scripted import EchoAll, EchoFirst, FirstWord, ScriptedClient, SecondRun  # noqa: E402
 from parlance.session import materialize, scratch_path, ship_package  # noqa: E402
-from parlance.sources import files, ledger, tables  # noqa: E402
+from parlance.sources import files, folders, ledger, tables  # noqa: E402
 from parlance.schemas import TEST_CSV  # noqa: E402
 
 SEED = 7
@@ -100,6 +100,31 @@ def csv_roundtrip(spark, sf):
     return files.read_csv(spark, path, TEST_CSV).select("id", "dialogue", "summary")
 
 
+def _mixed_folder(spark, sf) -> str:
+    """Exports of the documents by language: columns in other orders, one more, and two that lack one."""
+    folder, rows = scratch_path(spark, "folder"), document_rows(spark, sf)
+    lang = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang")
+    rows = rows.join(lang, "id")
+    layouts = {"en": ["id", "dialogue", "summary"], "de": ["summary", "lang", "id", "dialogue"], "fr": ["dialogue", "summary"], "es": ["id", "summary"]}
+    for code, names in layouts.items():
+        tables.export_csv(rows.where(F.col("lang") == code).select(*names), f"{folder}/{code}.csv")
+    return folder
+
+
+def folder_scan(spark, sf):
+    """Rows read by column name from the files of a folder that can be read."""
+    found = folders.scan(spark, _mixed_folder(spark, sf), TEST_CSV, ["dialogue"])
+    return found.rows.select("file_name", "id", "dialogue", "summary")
+
+
+def folder_errors(spark, sf):
+    """Files set aside because they lack the id, with the reason; parts of an export are one file."""
+    found = folders.scan(spark, _mixed_folder(spark, sf), TEST_CSV, ["id", "dialogue"])
+    return found.files.groupBy("file_name").agg(
+        F.sum("records").alias("records"), F.max("error").alias("error")
+    )
+
+
 def corpus_split(spark, sf):
     path = scratch_path(spark, "split")
     document_rows(spark, sf).write.parquet(path)
@@ -705,7 +730,7 @@ def persona_groups(spark, sf):
 
 # The registered queries, by name.
 QUERIES = [
-    topic_source, seed_source, csv_roundtrip, corpus_split, stage_save, metric_report, question_store, file_labels,
+    topic_source, seed_source, csv_roundtrip, folder_scan, folder_errors, corpus_split, stage_save, metric_report, question_store, file_labels,
     first_k_per_file, truncate_lists, seed_sample, size_matched_sample, append_results, train_test_pairs,
     few_shot_attach, persona_pairs, criteria_grid, qa_alignment,
     diversity_rouge_names, diversity_rouge_documents, diversity_cosine, corpus_diversity, chunked_mean,

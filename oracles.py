@@ -94,6 +94,13 @@ ORACLES: dict[str, str] = {}
 ORACLES["topic_source"] = "SELECT s_name AS base_topic FROM supplier"
 ORACLES["seed_source"] = f"WITH {ROWS} SELECT md5(dialogue) AS id, dialogue, summary FROM rows_"
 ORACLES["csv_roundtrip"] = f"WITH {ROWS} SELECT id, dialogue, summary FROM rows_"
+ORACLES["folder_scan"] = f"""
+WITH {ROWS} SELECT lang || '.csv' AS file_name, CASE WHEN lang <> 'fr' THEN id END AS id, dialogue, summary
+FROM rows_ JOIN documents ON CAST(doc_id AS VARCHAR) = id WHERE lang IN ('en', 'de', 'fr')"""
+ORACLES["folder_errors"] = """
+SELECT lang || '.csv' AS file_name, CAST(count(*) AS BIGINT) AS records,
+  CASE lang WHEN 'fr' THEN 'no column id' WHEN 'es' THEN 'no column dialogue' END AS error
+FROM documents WHERE lang IN ('en', 'de', 'fr', 'es') GROUP BY lang"""
 ORACLES["corpus_split"] = ORACLES["csv_roundtrip"]
 ORACLES["stage_save"] = """
 SELECT lang, count(*) AS rows, CAST(sum(n_chars + CASE WHEN lang = 'fr' THEN 1 ELSE 0 END) AS BIGINT) AS n_chars

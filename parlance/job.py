@@ -9,6 +9,8 @@ from __future__ import annotations
 import argparse
 from importlib import import_module
 
+from pyspark.sql import functions as F
+
 from parlance.plans import corpus, generation
 from parlance.session import build_session
 from parlance.sources import files, tables
@@ -38,7 +40,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     run.add_argument("--attempt", type=int, default=0)
     run.add_argument("--yes-id", type=int, help="token of 'yes'; by default the client tells it")
     run.add_argument("--partitions", type=int, help="most model calls at a time")
-    run.add_argument("--csv", help="also export the dialogues, without metrics, as CSV")
+    run.add_argument("--csv", help="also export the last table as CSV, metrics as JSON")
     div = commands.add_parser("diversity")
     div.add_argument("--client", required=True)
     div.add_argument("--folder", required=True)
@@ -65,7 +67,8 @@ def main(argv: list[str] | None = None) -> None:
         spark.read.parquet(args.dialogues) if args.dialogues else None,
     )
     if args.csv:
-        flat = [name for name, kind in out.dtypes if not kind.startswith("map")]
+        # Maps of metrics as JSON, which is how a cell can hold them.
+        flat = [F.to_json(c).alias(c) if kind.startswith("map") else F.col(c) for c, kind in out.dtypes]
         tables.export_csv(out.select(*flat), args.csv)
 
 

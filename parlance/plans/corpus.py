@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.operators import model
 from parlance.operators.diversity import FILE_ROWS, cosine_row_maxima, rouge_row_maxima
@@ -11,7 +12,7 @@ from parlance.operators.model import ClientFactory
 from parlance.operators.sampling import first_k
 from parlance.operators.reports import long_metrics
 from parlance.session import materialize
-from parlance.sources.files import FILE, POS, read_dialogues
+from parlance.sources.folders import FILE, POS, scan
 from parlance.sources.tables import append_report
 
 
@@ -38,11 +39,19 @@ def corpus_diversity(
 
 
 def diversity_report(spark: SparkSession, folder: str, client: ClientFactory, report: str, run_id: str) -> DataFrame:
-    """Append run_id, file_name, metric, value for every dialogue CSV of a folder."""
-    rows = corpus_diversity(read_dialogues(spark, folder), FILE, [POS], "dialogue", client)
-    table = materialize(
-        long_metrics(rows, [FILE], ["rouge", "cosine"]).select(F.lit(run_id).alias("run_id"), FILE, "metric", "value"),
-        "diversity",
+    """Append run_id, file_name, metric, value, error for every dialogue CSV of a folder.
+
+    A file that cannot be read has one row with the reason; the others are measured.
+    """
+    found = scan(spark, folder, T.StructType([T.StructField("dialogue", T.StringType())]))
+    rows = corpus_diversity(found.rows, FILE, [POS], "dialogue", client)
+    run = F.lit(run_id).alias("run_id")
+    scores = long_metrics(rows, [FILE], ["rouge", "cosine"]).select(
+        run, FILE, "metric", "value", F.lit(None).cast("string").alias("error")
+    )
+    bad = found.files.where(F.col("error").isNotNull()).select(
+        run, FILE, F.lit("unreadable").alias("metric"), F.lit(None).cast("double").alias("value"), "error"
     )
+    table = materialize(scores.unionByName(bad), "diversity")
     append_report(table, report)
     return table

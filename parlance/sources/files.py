@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 
 from parlance.functions.text import strip_blanks
 from parlance.schemas import DIALOGUE_CSV, SEED_DIALOGUE, TEST_CSV
-
-FILE, POS = "file_name", "file_pos"
+from parlance.sources.folders import FILE, POS, scan
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
@@ -43,20 +42,13 @@ def read_seed_dialogues(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header and quoted cells that may span lines; a file or a folder.
 
-    A file of this kind cannot be split, so files are the unit of parallelism;
-    between stages use parquet.
+    Columns are found by name, others are passed over. An unreadable file is
+    an error that names it; ``folders.scan`` sets such files aside instead.
     """
-    rows = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .schema(schema)
-        .csv(path)
-    )
-    return rows.select(
-        F.col("_metadata.file_name").alias(FILE), F.monotonically_increasing_id().alias(POS), *schema.names
-    )
+    found = scan(spark, path, schema)
+    if found.errors:
+        raise ValueError("; ".join(f"{p}: {e}" for p, e in sorted(found.errors.items())))
+    return found.rows
 
 
 def read_dialogues(spark: SparkSession, path: str) -> DataFrame:

@@ -38,3 +38,19 @@ def test_run_then_diversity(spark, folder):
 def test_unknown_stage_is_refused():
     with pytest.raises(SystemExit):
         job.arguments(["run", "--client", "a:b", "--out", "x", "--stage", "everything"])
+
+
+def test_exported_run_is_read_back(spark, folder):
+    """The CSV of a whole run, metrics as JSON, goes through the diversity command."""
+    with open(folder + "/topics.txt", "w") as f:
+        f.write("Pets\nFood\n")
+    with open(folder + "/seeds.jsonl", "w") as f:
+        f.write("\n".join(json.dumps({"dialogue": f"d{i}", "summary": f"s{i}"}) for i in range(4)))
+    client = ["--client", "parlance.scripted:ScriptedClient"]
+    job.main(["run", *client, "--out", folder + "/out", "--topics", folder + "/topics.txt", "--seeds", folder + "/seeds.jsonl",
+              "--n-sub-topics", "2", "--n-personas", "3", "--csv", folder + "/in/run.csv"])
+    header = next(open(folder + "/in/run.csv/" + n).readline() for n in sorted(os.listdir(folder + "/in/run.csv")) if n.endswith(".csv"))
+    assert {"fed", "gpt_score", "g_eval", "dialogue"} <= set(header.strip().replace('"', "").split(","))
+    job.main(["diversity", *client, "--folder", folder + "/in", "--report", folder + "/report", "--run-id", "a"])
+    got = {r["metric"]: r for r in spark.read.parquet(folder + "/report").collect()}
+    assert set(got) == {"rouge", "cosine"} and got["rouge"]["file_name"] == "run.csv" and 0 < got["rouge"]["value"] <= 1
