@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
-from parlance.functions import parsing, prompts, rouge, text, vectors  # noqa: E402
+from parlance.functions import parsing, prompts, rouge, text, tokens, vectors  # noqa: E402
 from parlance.operators import dedup, diversity, lists, model, reports, sampling  # noqa: E402
 from parlance.plans import corpus, datasets, generation, quality, scoring  # noqa: E402
 from parlance.scripted import EchoAll, EchoFirst, FirstWord, ScriptedClient, SecondRun  # noqa: E402
@@ -313,6 +313,12 @@ def rouge_l_stem_pairs(spark, sf):
     return turn_pairs(spark, sf).select("conv_id", "turn", r6(score).alias("rouge_l"))
 
 
+def token_stems(spark, sf):
+    """The stem of every distinct word of documents and turns."""
+    texts = table(spark, sf, "documents").select("text").unionByName(table(spark, sf, "conversations").select("text"))
+    return tokens.dictionary(texts, "text").select("token", "stem")
+
+
 def answer_normalize(spark, sf):
     body = F.col("text")
     return table(spark, sf, "documents").select(
@@ -735,7 +741,7 @@ QUERIES = [
     few_shot_attach, persona_pairs, criteria_grid, qa_alignment,
     diversity_rouge_names, diversity_rouge_documents, diversity_cosine, corpus_diversity, chunked_mean,
     mean_by_document, greedy_filter_lists, greedy_filter_names, greedy_filter_documents,
-    rouge_l_pairs, rouge_l_stem_pairs, answer_normalize, token_f1, parse_lists, extract_sections, judge_scores,
+    rouge_l_pairs, rouge_l_stem_pairs, token_stems, answer_normalize, token_f1, parse_lists, extract_sections, judge_scores,
     speakers, followup_turn, dialogue_text, context_response,
     sub_topic_prompts, persona_prompts, dialogue_prompts, dialogue_prompts_plain, judge_prompts, question_prompts,
     answer_prompts, probe_prompts, rubric_prompts,

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from parlance.functions.prompts import DEFAULT, FOLLOWUPS, PROBED_ASPECTS, RATED_ASPECTS
+from parlance.functions.stem import IRREGULAR, STEP_2, STEP_3, STEP_4
 
 SEED = 7
 
@@ -244,6 +245,93 @@ ORACLES["rouge_l_pairs"] = f"""
 WITH RECURSIVE {PAIRS}, tok AS (SELECT conv_id, turn, {words('a')} AS ta, {words('b')} AS tb FROM pairs),
 {lcs('tok', 'conv_id, turn')}
 SELECT conv_id, turn, round({F_MEASURE}, 6) AS rouge_l FROM lcs"""
+
+
+def cut(n: int) -> str:
+    """The word without its last letters."""
+    return f"left(w, length(w) - {n})"
+
+
+def letters(stem: str) -> str:
+    """A stem in which every y that counts as a vowel is an i: those after a consonant."""
+    return f"regexp_replace(regexp_replace({stem}, '([^aeiouy])y', '\\1i', 'g'), 'yy', 'yi', 'g')"
+
+
+def has(stem: str, pattern: str) -> str:
+    return f"regexp_matches({letters(stem)}, '{pattern}')"
+
+
+def above(stem: str, m: int) -> str:
+    """Whether a stem holds more than ``m`` (0 or 1) runs of vowels followed by consonants."""
+    return has(stem, "[aeiou][^aeiou]" if m == 0 else "[aeiou][^aeiou]+[aeiou]+[^aeiou]")
+
+
+def short_end(word: str) -> str:
+    return f"CASE WHEN length({word}) = 2 THEN {has(word, '^[aeiou][^aeiou]$')} ELSE {has(word, '[^aeiou][aeiou][^aeiouwxy]$')} END"
+
+
+def swapped(rules: list[tuple[str, str]]) -> str:
+    cases = " ".join(
+        f"WHEN w LIKE '%{old}' THEN CASE WHEN {above(cut(len(old)), 0)} THEN {cut(len(old))} || '{new}' ELSE w END" for old, new in rules
+    )
+    return f"CASE {cases} ELSE w END"
+
+
+def stems(source: str) -> str:
+    """CTEs ending in stems (t, s): the Porter stem of each distinct token t of ``source``, step by step."""
+    once = f"{above('p', 0)} AND NOT {above('p', 1)}"
+    stripped = f"""CASE WHEN p IS NULL OR NOT {has('p', '[aeiou]')} THEN w
+      WHEN p LIKE '%at' OR p LIKE '%bl' OR p LIKE '%iz' THEN p || 'e'
+      WHEN length(p) > 1 AND p[-1] = p[-2] AND {has('p', '[^aeiou]$')} THEN
+        CASE WHEN p[-1] IN ('l', 's', 'z') THEN p ELSE left(p, length(p) - 1) END
+      WHEN {once} AND {short_end('p')} THEN p || 'e' ELSE p END"""
+    steps = [
+        """CASE WHEN w LIKE '%ies' AND length(w) = 4 THEN left(w, 3) WHEN w LIKE '%sses' THEN left(w, length(w) - 2)
+           WHEN w LIKE '%ies' THEN left(w, length(w) - 2) WHEN w LIKE '%ss' THEN w
+           WHEN w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END""",
+        f"""CASE WHEN w LIKE '%ied' THEN CASE WHEN length(w) = 4 THEN {cut(1)} ELSE {cut(2)} END
+           WHEN w LIKE '%eed' THEN CASE WHEN {above(cut(3), 0)} THEN {cut(1)} ELSE w END ELSE {stripped} END""",
+        f"CASE WHEN w LIKE '%y' AND length(w) > 2 AND {has(cut(1), '[^aeiou]$')} THEN {cut(1)} || 'i' ELSE w END",
+        f"CASE WHEN w LIKE '%alli' AND {above(cut(4), 0)} THEN {cut(2)} ELSE w END",
+        f"CASE WHEN w LIKE '%logi' THEN CASE WHEN {above(cut(3), 0)} THEN {cut(1)} ELSE w END ELSE {swapped(STEP_2)} END",
+        swapped(STEP_3),
+        "CASE " + " ".join(
+            f"WHEN w LIKE '%{old}' THEN CASE WHEN {above(cut(len(old)), 1)}"
+            + (f" AND {cut(3)}[-1] IN ('s', 't')" if old == "ion" else "") + f" THEN {cut(len(old))} ELSE w END"
+            for old in STEP_4) + " ELSE w END",
+        f"CASE WHEN w LIKE '%e' AND ({above(cut(1), 1)} OR ({above(cut(1), 0)} AND NOT {short_end(cut(1))})) THEN {cut(1)} ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {above(cut(1), 1)} THEN {cut(1)} ELSE w END",
+    ]
+    ending = "CASE WHEN w LIKE '%ed' THEN left(w, length(w) - 2) WHEN w LIKE '%ing' THEN left(w, length(w) - 3) END"
+    irregular = values(list(IRREGULAR.items()))
+    ctes = [f"w0 AS (SELECT DISTINCT unnest(ts) AS t FROM ({source}))", f"irregular(t, s) AS (FROM {irregular})",
+            "v0 AS (SELECT t, t AS w FROM w0 WHERE length(t) > 3 AND t NOT IN (SELECT t FROM irregular))"]
+    for i, step in enumerate(steps):
+        ctes.append(f"v{i + 1} AS (SELECT t, {step} AS w FROM (SELECT t, w, {ending} AS p FROM v{i}))")
+    ctes.append(f"""stems AS (
+  SELECT t, w AS s FROM v{len(steps)} UNION ALL
+  SELECT t, coalesce(s, t) FROM w0 LEFT JOIN irregular USING (t) WHERE length(t) <= 3 OR s IS NOT NULL)""")
+    return ",\n".join(ctes)
+
+
+def stemmed(keys: str, tokens: str) -> str:
+    """keys, ts: the token list ``tokens`` of each row of tok, stemmed."""
+    return f"""(SELECT {keys}, coalesce(list(s ORDER BY place), []) AS ts FROM (
+    SELECT {keys}, unnest({tokens}) AS t, generate_subscripts({tokens}, 1) AS place FROM tok) JOIN stems USING (t) GROUP BY {keys})"""
+
+
+ORACLES["rouge_l_stem_pairs"] = f"""
+WITH RECURSIVE {PAIRS}, tok AS (SELECT conv_id, turn, {words('a')} AS ta, {words('b')} AS tb FROM pairs),
+{stems('SELECT ta AS ts FROM tok UNION ALL SELECT tb FROM tok')},
+both_ AS (
+  SELECT conv_id, turn, coalesce(a.ts, []) AS ta, coalesce(b.ts, []) AS tb FROM tok
+  LEFT JOIN {stemmed('conv_id, turn', 'ta')} a USING (conv_id, turn) LEFT JOIN {stemmed('conv_id, turn', 'tb')} b USING (conv_id, turn)),
+{lcs('both_', 'conv_id, turn')}
+SELECT conv_id, turn, round({F_MEASURE}, 6) AS rouge_l FROM lcs"""
+# Every word of the documents and its stem.
+ORACLES["token_stems"] = f"""
+WITH tok AS (SELECT {words('text')} AS ts FROM documents UNION ALL SELECT {words('text')} FROM conversations),
+{stems('SELECT ts FROM tok')} SELECT t AS token, s AS stem FROM stems"""
 ORACLES["answer_normalize"] = f"""
 SELECT doc_id, array_to_string(w, ' ') AS normal, CAST(len(w) AS INTEGER) AS tokens
 FROM (SELECT doc_id, {normal_words('text')} AS w FROM documents)"""
