@@ -190,16 +190,14 @@ FROM (SELECT a.doc_id, a.l AS ll, b.l AS rl FROM docs a JOIN docs b ON b.doc_id
 NAME_SCORE = "CASE WHEN a.p_name = b.p_name THEN 1.0 WHEN list_has_any(a.w, b.w) THEN 0.5 ELSE 0.0 END"
 ORACLES["diversity_rouge_names"] = f"""
 WITH names AS (
-  SELECT * FROM (SELECT p_brand, p_partkey, p_name, string_split(p_name, ' ') AS w,
-    row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE r <= 200),
+  SELECT p_brand, p_partkey AS r, p_name, string_split(p_name, ' ') AS w FROM part),
 best AS (
   SELECT a.p_brand, a.r, max(CASE WHEN a.r <> b.r THEN {NAME_SCORE} END) AS m
   FROM names a JOIN names b ON a.p_brand = b.p_brand GROUP BY a.p_brand, a.r)
 SELECT p_brand, count(*) AS rows, round(avg(m), 6) AS diversity_rouge FROM best GROUP BY p_brand"""
 ORACLES["diversity_cosine"] = """
 WITH v AS (
-  SELECT * FROM (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e,
-    row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 200),
+  SELECT label, vec_id AS r, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 best AS (
   SELECT a.label, a.r, max(CASE WHEN a.r <> b.r THEN list_cosine_similarity(a.e, b.e) END) AS m
   FROM v a JOIN v b ON a.label = b.label GROUP BY a.label, a.r)

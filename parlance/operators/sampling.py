@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.session import lookup_join, materialize
+
 # Most hash buckets that are ever counted on the driver.
 HASH_BUCKETS = 4096
 # Rows of the last bucket that one ordered limit may take.
@@ -81,31 +83,29 @@ def size_matched(df: DataFrame, ids: list[str], other: DataFrame, seed: int | st
     return sample_exact(df, ids, other.count(), seed)
 
 
-def with_position(df: DataFrame, order: str, pos: str = "pos", parts: int | None = None) -> DataFrame:
-    """Global row number from 0 in the order of a unique numeric column.
+def with_position(df: DataFrame, order: str | list[str], pos: str = "pos", parts: int | None = None) -> DataFrame:
+    """Global row number from 0 in the order of the columns, which may be of any type and repeat.
 
-    The column's quantiles cut it into even ranges. The rows of a range are
-    numbered in parallel, and the ranges' counts (one small row each) give the
-    offsets, so no task sees more than one range.
+    A distributed prefix sum: the rows are range-partitioned, sorted and
+    numbered within their partition, and written, so that the numbers stay; the
+    partitions' counts, one small row each, summed in order give the offsets. No
+    task sees more than one range, and no bounds go through the driver.
     """
     spark = df.sparkSession
+    order = [order] if isinstance(order, str) else order
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = [i / parts for i in range(1, parts)]
-    bounds: list = []
-    if share:
-        found = df.agg(F.percentile_approx(order, share, 10_000).alias("q")).head()["q"]
-        bounds = sorted(set(found or []))
-    cuts = F.array(*[F.lit(b) for b in bounds])
-    part = F.size(F.filter(cuts, lambda c: c < F.col(order))) if bounds else F.lit(0)
-    ranged = df.withColumn("_part", part)
-    counts = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    offsets, total = {}, 0
-    for p in range(len(bounds) + 1):
-        offsets[p] = total
-        total += counts.get(p, 0)
-    start = F.element_at(F.array(*[F.lit(offsets[p]).cast("long") for p in sorted(offsets)]), F.col("_part") + 1)
-    w = Window.partitionBy("_part").orderBy(order)
-    return ranged.withColumn(pos, start + F.row_number().over(w) - 1).drop("_part")
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()
+    # The id holds the partition above bit 33 and the row's place in it below.
+    rows = materialize(ranged.withColumn("_id", number), "ranges").withColumns({
+        "_part": F.shiftright("_id", 33).cast("int"), "_place": F.col("_id").bitwiseAND((1 << 33) - 1),
+    })
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # A row per partition.
+    joined = lookup_join(rows, materialize(starts, "offsets"), ["_part"])
+    return joined.withColumn(pos, F.col("_start") + F.col("_place")).drop("_id", "_part", "_place", "_start")
 
 
 def chunked_mean(df: DataFrame, order: str, value: str, n: int) -> DataFrame:

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.operators import model
-from parlance.operators.diversity import FILE_ROWS, cosine_row_maxima, rouge_row_maxima
+from parlance.operators.diversity import FILE_ROWS, cosine_row_maxima, rouge_row_maxima, taking_part
 from parlance.operators.model import ClientFactory
-from parlance.operators.sampling import first_k
 from parlance.operators.reports import long_metrics
 from parlance.session import materialize
 from parlance.sources.folders import FILE, POS, scan
@@ -17,21 +16,22 @@ from parlance.sources.tables import append_report
 
 
 def corpus_diversity(
-    rows: DataFrame, file: str, order: list[str], text: str, client: ClientFactory, k: int = FILE_ROWS,
+    rows: DataFrame, file: str, order: list[str], text: str, client: ClientFactory, k: int | None = FILE_ROWS,
     store: str | None = None,
 ) -> DataFrame:
     """file, rows, rouge, cosine: means of the row maxima; null for a single row.
 
-    The texts are embedded once and written before the quadratic step.
+    The first ``k`` texts of each file take part, all of them for None. They are
+    embedded once, through the ledger at ``store`` if there is one.
     """
-    kept = first_k(rows.na.drop(subset=[text]).select(file, *order, text), [file], order, k, "_pos")
-    kept = materialize(kept, "kept")
+    kept = materialize(taking_part(rows, file, order, text, k), "kept")
     vectors = model.embeddings(kept, [file, "_pos"], F.col(text), client, store)
-    encoded = materialize(kept.join(vectors.withColumnRenamed("value", "_vector"), [file, "_pos"]), "encoded")
-    by_words = rouge_row_maxima(encoded, file, "_pos", text)
-    by_vectors = cosine_row_maxima(encoded.where(F.col("_vector").isNotNull()), file, "_pos", "_vector")
-    # Both are keyed by (file, row), so the join has no hot key.
-    return by_words.join(by_vectors, [file, "_pos"], "left").groupBy(file).agg(
+    by_words = rouge_row_maxima(kept, file, "_pos", text)
+    by_vectors = cosine_row_maxima(vectors.where(F.col("value").isNotNull()), file, "_pos", "value")
+    # Both are keyed by (file, row), so the join has no hot key; a missing file's rows are told apart by their position.
+    same = by_words[file].eqNullSafe(by_vectors[file]) & (by_words["_pos"] == by_vectors["_pos"])
+    both = by_words.join(by_vectors, same, "left").select(by_words[file], "best_rouge", "best_cosine")
+    return both.groupBy(file).agg(
         F.count("*").alias("rows"),
         F.avg("best_rouge").alias("rouge"),
         F.avg("best_cosine").alias("cosine"),

@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.functions import vectors
+from parlance.functions import tokens, vectors
 from parlance.functions.rouge import score
 from parlance.operators import diversity, model
 from parlance.plans.corpus import corpus_diversity
@@ -32,8 +33,11 @@ def mean_max(texts, pair):
     return float(np.mean([max(pair(a, b) for j, b in enumerate(texts) if j != i) for i, a in enumerate(texts)]))
 
 
-@pytest.mark.parametrize("k", [200, 40])
-def test_rouge_and_cosine_equal_the_loops(spark, k):
+@pytest.mark.parametrize("k, block", [(200, 512), (40, 512), (None, 512), (None, 8), (None, 1)])
+def test_rouge_and_cosine_equal_the_loops(spark, monkeypatch, k, block):
+    for name in ("rouge_row_maxima", "cosine_row_maxima"):
+        plain = getattr(diversity, name)
+        monkeypatch.setattr(f"parlance.plans.corpus.{name}", lambda *args, plain=plain: plain(*args, block=block))
     files = texts_by_file()
     client = ScriptedClient()
 
@@ -52,6 +56,56 @@ def test_rouge_and_cosine_equal_the_loops(spark, k):
             assert row[column] == (None if want is None else pytest.approx(want, abs=1e-6)), (name, column)
 
 
+def test_every_row_has_its_best_partner(spark):
+    """A whole file in small blocks, with copies, repeated tokens and texts without tokens."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(40)] + ["the"] * 20
+    base = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 40))) for _ in range(30)]
+    texts = base + base[:8] + [" ".join(t.split()[:-2] + ["new"]) for t in base] + ["", "?!", "the the the", "the the"]
+    df = frame(spark, {"f": texts, None: texts[:20]})
+    for block in (7, 512):
+        got = {(r["file"], r["i"]): r["best_rouge"] for r in diversity.rouge_row_maxima(df, "file", "i", "t", True, block).collect()}
+        for name, part in (("f", texts), (None, texts[:20])):
+            for i, t in enumerate(part):
+                assert got[name, i] == max(score(t, o, True) for j, o in enumerate(part) if j != i), (block, name, i)
+
+
+def test_few_subsequences_are_computed(monkeypatch):
+    """Bounds settle most pairs of a block; a pair of unlike blocks takes no product."""
+    rng = random.Random(6)
+    groups = [[f"g{g}w{i}" for i in range(40)] for g in range(12)]
+    texts = [" ".join(rng.choices(g, k=30)) for g in groups for _ in range(10)]
+    calls = []
+    plain = diversity.rouge.lcs_length
+    monkeypatch.setattr(diversity.rouge, "lcs_length", lambda *a: calls.append(1) or plain(*a))
+    ids = tokens.Ids(False)
+    block = diversity.Block([ids.of(t) for t in texts])
+    best = np.zeros(len(texts))
+    diversity.best_rouge(block, None, best)
+    computed = len(calls)
+    assert best.tolist() == [max(score(a, b) for j, b in enumerate(texts) if j != i) for i, a in enumerate(texts)]
+    assert computed < 700 < 120 * 119 // 2
+    other = diversity.Block([ids.of(f"x{i} y{i}") for i in range(5)])
+    assert diversity.hopeless(block, other, best, np.zeros(5))
+
+
+def test_numbered_tokens_overlap_as_multisets():
+    rng = random.Random(2)
+    for _ in range(50):
+        a, b = (np.array(rng.choices(range(-3, 6), k=rng.randint(0, 12)), np.int64) for _ in range(2))
+        want = sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+        assert len(np.intersect1d(tokens.numbered(a), tokens.numbered(b))) == want
+
+
+def test_token_ids_and_dictionary(spark):
+    df = spark.createDataFrame([("Running dogs, the dogs!",), ("the dog runs",), (None,), ("",)], "t string")
+    got = [r[0] for r in df.select(tokens.token_ids(F.col("t"), True)).collect()]
+    assert got[0][0] == got[1][2] and got[0][1] == got[0][3] == got[1][1] and got[2:] == [None, []]
+    words = {r["token"]: (r["stem"], r["rows"]) for r in tokens.dictionary(df, "t").collect()}
+    assert words == {"running": ("run", 1), "dogs": ("dog", 1), "the": ("the", 2), "dog": ("dog", 1), "runs": ("run", 1)}
+    assert tokens.dictionary(df.limit(0), "t").collect() == []
+
+
 def test_no_rows(spark):
     empty = frame(spark, {"x": [None]})
     assert diversity.diversity_rouge(empty, "file", ["i"], "t").count() == 0

@@ -77,3 +77,17 @@ def test_followup_scores(spark):
     )
     got = {r["metric"]: r["value"] for r in reports.followup_scores(rows, "id").collect()}
     assert got == {"both": 3.0, "neg": 3.0, "gap": None}
+
+
+def test_positions_of_repeated_and_missing_keys(spark):
+    rows = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("a", 4), ("c", 5)] * 20, "k string, v int")
+    for parts in (1, 3, 64):
+        got = sampling.with_position(rows, ["k", "v"], "at", parts).orderBy("at").collect()
+        assert [r["at"] for r in got] == list(range(100))
+        keys = [(r["k"] is not None, r["k"] or "", r["v"]) for r in got]
+        assert keys == sorted(keys)
+    assert sampling.with_position(rows.limit(0), "k").collect() == []
+    numbers = spark.range(5000).selectExpr("hash(id) % 700 as x", "id")
+    table = sampling.with_position(numbers, ["x", "id"], "at")
+    bad = table.alias("a").join(table.alias("b"), F.expr("b.at = a.at + 1")).where("a.x > b.x or (a.x = b.x and a.id > b.id)")
+    assert bad.isEmpty() and table.select("at").distinct().count() == 5000
