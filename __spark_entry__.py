@@ -295,6 +295,12 @@ def greedy_filter_names(spark, sf):
     return dedup.greedy_filter(parts, "p_brand", "p_partkey", "p_name")
 
 
+def greedy_filter_rounds(spark, sf):
+    """The same by rounds over the index of rare tokens, however small a group is."""
+    parts = table(spark, sf, "part").select("p_brand", "p_partkey", "p_name")
+    return dedup.greedy_filter(parts, "p_brand", "p_partkey", "p_name", window=8, local_items=0)
+
+
 def greedy_filter_documents(spark, sf):
     docs = table(spark, sf, "documents").select("source", "doc_id", "text")
     return dedup.greedy_filter(docs, "source", "doc_id", "text").select("source", "doc_id")
@@ -740,7 +746,7 @@ QUERIES = [
     first_k_per_file, truncate_lists, seed_sample, size_matched_sample, append_results, train_test_pairs,
     few_shot_attach, persona_pairs, criteria_grid, qa_alignment,
     diversity_rouge_names, diversity_rouge_documents, diversity_cosine, corpus_diversity, chunked_mean,
-    mean_by_document, greedy_filter_lists, greedy_filter_names, greedy_filter_documents,
+    mean_by_document, greedy_filter_lists, greedy_filter_names, greedy_filter_rounds, greedy_filter_documents,
     rouge_l_pairs, rouge_l_stem_pairs, token_stems, answer_normalize, token_f1, parse_lists, extract_sections, judge_scores,
     speakers, followup_turn, dialogue_text, context_response,
     sub_topic_prompts, persona_prompts, dialogue_prompts, dialogue_prompts_plain, judge_prompts, question_prompts,

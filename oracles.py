@@ -237,6 +237,8 @@ flat AS (SELECT p_brand, unnest(spots) AS i FROM done)
 SELECT f.p_brand, l.keys[f.i + 1] AS p_partkey, l.names[f.i + 1] AS p_name
 FROM flat f JOIN lists l USING (p_brand)"""
 
+ORACLES["greedy_filter_rounds"] = ORACLES["greedy_filter_names"]
+
 # ------------------------------------------------------------------------ text
 
 ORACLES["rouge_l_pairs"] = f"""

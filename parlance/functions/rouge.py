@@ -104,24 +104,6 @@ class Prepared:
         return f_measure(lcs_length(long.masks, size, short.tokens, need), n, m) >= threshold
 
 
-def reaches(a: Column, b: Column, threshold: float) -> Column:
-    """Whether two columns of words joined by single spaces are similar.
-
-    Rows of equal ``a`` in a row share its preparation.
-    """
-
-    @F.pandas_udf(T.BooleanType())
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        last, prepared, out = None, None, []
-        for x, y in zip(left, right):
-            if x != last:
-                last, prepared = x, Prepared(x.split(" "))
-            out.append(prepared.reaches(Prepared(y.split(" ")), threshold))
-        return pd.Series(out, dtype="bool")
-
-    return run(a, b)
-
-
 @F.pandas_udf(T.DoubleType())
 def _plain(reference: pd.Series, prediction: pd.Series) -> pd.Series:
     return pd.Series([score(r, p) for r, p in zip(reference, prediction)], dtype="float64")

@@ -3,86 +3,85 @@
 Same result as ``lists.drop_repeated``: in position order an item is kept
 unless its ROUGE-L with an item kept earlier reaches the threshold.
 
+* Items become rows of 64-bit numbers: an id, the hash of the group, the
+  position, and the token ids, written once. Everything after works on ids;
+  token arrays are fetched for the pairs that must be compared, and only then.
 * Items with equal tokens are decided by their first copy and leave at once,
-  by an aggregation that combines before the shuffle.
+  by an aggregation on digests that combines before the shuffle.
 * A pair can only reach the threshold when it shares a token among the rarest
-  ones of both sides (prefix filter; Chaudhuri et al. 2006, Xiao et al. 2008),
-  so only items that meet in the posting list of such a token are compared.
+  ones of both sides (prefix filter; Chaudhuri et al. 2006, Xiao et al. 2008).
+  Rarity is exact: tokens are counted over all items of the large groups, and
+  (count, token) is their order. Only items that meet in the posting list of
+  such a token are compared.
 * The rest goes in rounds (Blelloch, Fineman, Shun 2012). A round looks at the
   first ``window`` items of each posting list only, decides those without an
   undecided similar predecessor, and drops what is similar to a newly kept
   item. Near copies leave with their first one after one comparison each, so a
   large cluster costs its size, not its square. The window doubles per round.
+  A leader that many items follow is spread by a salt.
 * A group that has, or is left with, at most ``LOCAL_ITEMS`` undecided items is
   walked by one task in one go; the rounds serve the larger ones.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parlance.functions.rouge import Prepared, reaches
+from parlance.functions.rouge import Prepared
 from parlance.functions.text import word_text
+from parlance.functions.tokens import numbered, token_ids
 from parlance.operators.lists import REPEAT_THRESHOLD
 from parlance.session import lookup_join, materialize
 
-# Frequent tokens known to every task; all others count as rare. The number is
-# fixed, so their table does not grow with the data.
-FREQUENT_TOKENS = 20_000
 FIRST_WINDOW = 64
-# Undecided items, and their characters, that one task may walk through.
+# Undecided items, and their tokens, that one task may walk through.
 LOCAL_ITEMS = 512
-LOCAL_CHARACTERS = 4_000_000
+LOCAL_TOKENS = 1_000_000
 # Postings of one token that one task may join.
 LIST_ROWS = 50_000
 
 
-def _frequent(words: DataFrame) -> dict[str, int]:
-    """Rank of the most frequent tokens, most frequent last in the order of rarity."""
-    counts = words.select(F.explode(F.array_distinct(F.split("_words", " "))).alias("t")).groupBy("t").count()
-    top = counts.where(F.col("count") > 1).orderBy(F.desc("count"), "t").limit(FREQUENT_TOKENS)
-    rows = top.collect()
-    return {row["t"]: len(rows) - i for i, row in enumerate(rows)}
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _marks(ids: pd.Series) -> pd.Series:
+    return pd.Series([numbered(np.asarray(x, np.int64)) for x in ids], dtype="object")
+
+
+@F.pandas_udf(T.BooleanType())
+def _pair(a: pd.Series, b: pd.Series, a_id: pd.Series, threshold: pd.Series) -> pd.Series:
+    """Whether two token arrays are similar. Rows of equal ``a_id`` in a row share its preparation."""
+    last, prepared, out = None, None, []
+    for x, y, key, t in zip(a, b, a_id, threshold):
+        if key != last:
+            last, prepared = key, Prepared(x.tolist())
+        out.append(prepared.reaches(Prepared(y.tolist()), t))
+    return pd.Series(out, dtype="bool")
 
 
 def _postings(items: DataFrame, threshold: float) -> DataFrame:
-    """_id, _group, _pos, _n, _probe, _token, _early: the rare tokens of every item.
+    """_id, _group, _pos, _n, _token, _early: the rarest tokens of every item.
 
     Repeated tokens are numbered. With n tokens, an item needs an overlap of
     at least n*t/(2-t) with any partner, and of n*t with one that is not
     shorter; ``_early`` marks the shorter prefix that suffices then.
     """
-    spark = items.sparkSession
-    ranks = spark.sparkContext.broadcast(_frequent(items))
-    any_partner, longer_partner = threshold / (2 - threshold), threshold
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rank = ranks.value
-        for pdf in batches:
-            out = []
-            for i, g, p, text in zip(pdf["_id"], pdf["_group"], pdf["_pos"], pdf["_words"]):
-                tokens = text.split(" ")
-                n = len(tokens)
-                seen: dict[str, int] = {}
-                marked = []
-                for t in tokens:
-                    seen[t] = seen.get(t, 0) + 1
-                    marked.append((rank.get(t, 0), t, seen[t]))
-                marked.sort()
-                # The small slack keeps rounding from shortening a prefix.
-                long = n - math.ceil(n * any_partner - 1e-9) + 1
-                short = n - math.ceil(n * longer_partner - 1e-9) + 1
-                for k, (_, t, c) in enumerate(marked[: min(long, n)]):
-                    out.append((i, g, p, n, f"{t} {c}", k < short))
-            yield pd.DataFrame(out, columns=["_id", "_group", "_pos", "_n", "_token", "_early"])
-
-    return items.select("_id", "_group", "_pos", "_words").mapInPandas(
-        build, "_id string, _group string, _pos long, _n int, _token string, _early boolean"
+    marked = items.select("_id", "_group", "_pos", _marks("_ids").alias("_marks"))
+    marked = materialize(marked, "marks")
+    spread = marked.select("_id", F.explode("_marks").alias("_token"))
+    counts = materialize(spread.groupBy("_token").agg(F.count("*").alias("_rows")), "rarity")
+    # A frequent token's rows are spread by their item.
+    counted = lookup_join(spread, counts, ["_token"], "inner", F.col("_id"))
+    ranked = counted.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_rows", "_token"))).alias("_ranked"))
+    n = F.size("_ranked")
+    # The small slack keeps rounding from shortening a prefix.
+    needed = lambda share: (n - F.ceil(n * share - 1e-9) + 1).cast("int")
+    prefix = F.slice("_ranked", F.lit(1), F.least(needed(threshold / (2 - threshold)), n))
+    rows = ranked.select("_id", n.alias("_n"), needed(threshold).alias("_short"), F.posexplode(prefix).alias("_k", "_r"))
+    return marked.select("_id", "_group", "_pos").join(rows, "_id").select(
+        "_id", "_group", "_pos", "_n", F.col("_r._token").alias("_token"), (F.col("_k") < F.col("_short")).alias("_early")
     )
 
 
@@ -119,26 +118,28 @@ def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     )
 
 
-def _similar(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+def _similar(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """The pairs that reach the threshold.
 
     Pairs are few bytes and much work, so their number of tasks is set rather
-    than left to size-based coalescing. Hashing both ids spreads an item with
-    many partners.
+    than left to size-based coalescing. The leaders' arrays are salted by the
+    other side, so one with many partners is spread.
     """
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = words.select(F.col("_id").alias("a_id"), F.col("_words").alias("_a"))
-    b = words.select(F.col("_id").alias("b_id"), F.col("_words").alias("_b"))
-    joined = pairs.join(a, "a_id").join(b, "b_id").repartition(tasks, "a_id", "b_id")
-    scored = joined.sortWithinPartitions("a_id")
-    return scored.where(reaches(F.col("_a"), F.col("_b"), threshold)).select("a_id", "b_id")
+    spark = pairs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = materialize(pairs, "pairs")
+    leaders = materialize(pairs.select("a_id").distinct(), "leaders")
+    a = items.join(leaders, items["_id"] == leaders["a_id"], "left_semi").select(F.col("_id").alias("a_id"), F.col("_ids").alias("_a"))
+    b = items.select(F.col("_id").alias("b_id"), F.col("_ids").alias("_b"))
+    joined = lookup_join(pairs.join(b, "b_id"), a, ["a_id"], "inner", F.col("b_id"))
+    scored = joined.repartition(tasks, "a_id", "b_id").sortWithinPartitions("a_id")
+    return scored.where(_pair("_a", "_b", "a_id", F.lit(threshold))).select("a_id", "b_id")
 
 
 def _round(
     postings: DataFrame, items: DataFrame, threshold: float, window: int
 ) -> tuple[DataFrame, DataFrame]:
     """Newly kept _id, and the postings of what is still undecided."""
-    texts = items.select("_id", "_words")
     lists = Window.partitionBy("_group", "_token").orderBy("_pos", "_id")
     ranked = postings.withColumn("_rank", F.row_number().over(lists)).where(F.col("_rank") <= window)
     # An item whose every posting is in a window sees all its predecessors.
@@ -147,12 +148,12 @@ def _round(
     front = seen.join(sizes, "_id").where(F.col("_seen") == F.col("_all")).select("_id", F.lit(True).alias("_front"))
     head = materialize(ranked.drop("_rank").join(front, "_id", "left"), "head")
     ready = head.where("_front")
-    edges = _similar(_candidates(head, ready, threshold), texts, threshold)
+    edges = _similar(_candidates(head, ready, threshold), items, threshold)
     blocked = edges.select(F.col("b_id").alias("_id")).distinct()
     kept = materialize(ready.select("_id").distinct().join(blocked, "_id", "left_anti"), "kept")
     leaders = postings.join(kept, "_id", "left_semi")
     followers = postings.join(kept, "_id", "left_anti")
-    dropped = _similar(_candidates(leaders, followers, threshold), texts, threshold)
+    dropped = _similar(_candidates(leaders, followers, threshold), items, threshold)
     gone = dropped.select(F.col("b_id").alias("_id")).distinct()
     return kept, materialize(followers.join(gone, "_id", "left_anti"), "postings")
 
@@ -163,30 +164,40 @@ def _walk(items: DataFrame, threshold: float) -> DataFrame:
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[Prepared] = []
         ids = []
-        for key, words in pdf.sort_values("_pos")[["_id", "_words"]].itertuples(index=False):
-            item = Prepared(words.split(" "))
+        for key, tokens in pdf.sort_values("_pos")[["_id", "_ids"]].itertuples(index=False):
+            item = Prepared(tokens.tolist())
             if not any(k.reaches(item, threshold) for k in kept):
                 kept.append(item)
                 ids.append(key)
-        return pd.DataFrame({"_id": ids}, dtype="object")
+        return pd.DataFrame({"_id": pd.Series(ids, dtype="int64")})
 
-    return items.groupBy("_group").applyInPandas(walk, "_id string")
+    return items.groupBy("_group").applyInPandas(walk, "_id long")
 
 
-def _split_by_size(items: DataFrame, local_items: int) -> tuple[DataFrame, DataFrame | None]:
-    """Items of the groups one task may walk, and those of larger groups if any."""
-    sizes = items.groupBy("_group").agg(F.count("*").alias("_size"), F.sum(F.length("_words")).alias("_chars"))
-    over = (F.col("_size") > local_items) | (F.col("_chars") > LOCAL_CHARACTERS)
+def _split_by_size(left: DataFrame, local_items: int) -> tuple[DataFrame, DataFrame | None]:
+    """Undecided items (_id, _group, _size) of the groups one task may walk, and those of larger groups if any."""
+    sizes = left.groupBy("_group").agg(F.count("*").alias("_items"), F.sum("_size").alias("_tokens"))
+    over = (F.col("_items") > local_items) | (F.col("_tokens") > LOCAL_TOKENS)
     large = materialize(sizes.where(over).select("_group"), "large")
     if large.isEmpty():
-        return items, None
+        return left, None
     spread = F.col("_id")
     return (
-        lookup_join(items, large, ["_group"], "left_anti", spread),
-        lookup_join(items, large, ["_group"], "left_semi", spread),
+        lookup_join(left, large, ["_group"], "left_anti", spread),
+        materialize(lookup_join(left, large, ["_group"], "left_semi", spread), "left"),
     )
 
 
+def group_hash(group: Column) -> Column:
+    """Hash of a group's value; a missing group is a group of its own."""
+    return F.xxhash64(F.to_json(F.struct(group.alias("g"))))
+
+
+def firsts(words: DataFrame) -> DataFrame:
+    """_group, _digest, _pos of the first of equal items: numbers and digests only, combined before the shuffle."""
+    return words.where(F.col("_words") != "").groupBy("_group", "_digest").agg(F.min("_pos").alias("_pos"))
+
+
 def greedy_filter(
     df: DataFrame,
     group: str,
@@ -202,44 +213,39 @@ def greedy_filter(
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    # As JSON, so that a missing group is a group of its own.
-    group_key = F.to_json(F.struct(F.col(group).alias("g")))
     words = df.select(
-        group_key.alias("_group"),
-        F.col(pos).cast("long").alias("_pos"),
+        group_hash(F.col(group)).alias("_group"), F.col(pos).cast("long").alias("_pos"),
         F.coalesce(word_text(F.col(item)), F.lit("")).alias("_words"),
-    ).withColumn("_id", F.concat_ws("/", "_pos", "_group"))
+    ).withColumn("_digest", F.md5("_words"))
     # Items without tokens score 0 with everything.
     silent = words.where(F.col("_words") == "").select("_group", "_pos")
-    firsts = (
-        words.where(F.col("_words") != "")
-        .groupBy("_group", "_words")
-        .agg(F.min_by("_id", "_pos").alias("_id"), F.min("_pos").alias("_pos"))
-    )
-    items = materialize(firsts.select("_id", "_group", "_pos", "_words"), "items")
-    small, large = _split_by_size(items, local_items)
-    kept_parts = [materialize(_walk(small, threshold), "kept")]
-    if large is not None:
-        large = materialize(large, "large")
-        postings = materialize(_postings(large, threshold), "postings")
-    while large is not None:
-        kept, postings = _round(postings, large, threshold, window)
+    first = materialize(firsts(words).select("_group", "_pos"), "firsts")
+    rows = words.join(first, ["_group", "_pos"], "left_semi")
+    items = materialize(rows.select(
+        F.monotonically_increasing_id().alias("_id"), "_group", "_pos", token_ids(F.col("_words")).alias("_ids")
+    ), "items")
+    small, left = _split_by_size(items.select("_id", "_group", F.size("_ids").alias("_size")), local_items)
+    own = lambda ids: items.join(ids.select("_id"), "_id", "left_semi")
+    kept_parts = [materialize(_walk(own(small) if left is not None else items, threshold), "kept")]
+    if left is not None:
+        postings = materialize(_postings(own(left), threshold), "postings")
+    while left is not None:
+        kept, postings = _round(postings, items, threshold, window)
         kept_parts.append(kept)
         window *= 2
-        left = large.join(postings.select("_id").distinct(), "_id", "left_semi")
-        small, large = _split_by_size(materialize(left, "left"), local_items)
-        kept_parts.append(materialize(_walk(small, threshold), "kept"))
-        if large is not None:
-            large = materialize(large, "large")
-            postings = postings.join(large.select("_id"), "_id", "left_semi")
+        left = left.join(postings.select("_id").distinct(), "_id", "left_semi")
+        small, left = _split_by_size(materialize(left, "left"), local_items)
+        kept_parts.append(materialize(_walk(own(small), threshold), "kept"))
+        if left is not None:
+            postings = postings.join(left.select("_id"), "_id", "left_semi")
 
     kept = kept_parts[0]
     for part in kept_parts[1:]:
         kept = kept.unionByName(part)
-    decided = items.join(kept, "_id", "left_semi").select("_group", "_pos")
+    decided = items.select("_id", "_group", "_pos").join(kept, "_id", "left_semi").select("_group", "_pos")
     survivors = decided.unionByName(silent)
     return (
-        df.withColumn("_group", group_key)
+        df.withColumn("_group", group_hash(F.col(group)))
         .withColumn("_pos", F.col(pos).cast("long"))
         .join(survivors, ["_group", "_pos"], "left_semi")
         .drop("_group", "_pos")

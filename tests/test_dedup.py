@@ -74,3 +74,20 @@ def test_long_posting_lists_are_cut(spark, monkeypatch):
     groups = random_groups(11)
     got = kept_by(grouped(spark, groups), groups, local_items=0, window=4, threshold=0.6)
     assert got == {g: keep_first(i, 0.6) for g, i in groups.items()}
+
+
+def test_texts_are_not_sorted_to_find_the_first(spark):
+    words = spark.createDataFrame([(1, "a b", "d", 3)], "_group long, _words string, _digest string, _pos long")
+    plan = dedup.firsts(words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+
+
+def test_hot_leader_and_missing_group(spark):
+    """A third of the rows copies one item with a word changed; the group itself is null."""
+    rng = random.Random(9)
+    hot = [f"one two three four five six seven eight nine w{i}" for i in range(40)]
+    items = hot + [" ".join(rng.choices([f"x{i}" for i in range(60)], k=8)) for _ in range(80)]
+    rng.shuffle(items)
+    df = spark.createDataFrame([(None, p, t) for p, t in enumerate(items)], "g string, p int, t string")
+    got = [r["t"] for r in greedy_filter(df, "g", "p", "t", local_items=0, window=4).orderBy("p").collect()]
+    assert got == keep_first(items)
