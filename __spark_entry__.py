@@ -610,15 +610,43 @@ def qags_chunked(spark, sf):
     return scoring.qags_chunked(qas, "at", ScriptedClient).select("chunk", r6(F.col("mean")).alias("mean"))
 
 
+def turn_rows(spark, sf):
+    """id, dialogue, summary, predicted_summary: a whole conversation, a turn's next turn, and the turn."""
+    pairs = turn_pairs(spark, sf).select(
+        F.col("conv_id").cast("string").alias("dialogue_id"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.col("b").alias("summary"), F.col("a").alias("predicted_summary"),
+    )
+    return pairs.join(dialogues(spark, sf), "dialogue_id").select("id", "dialogue", "summary", "predicted_summary")
+
+
 def summary_scores(spark, sf):
-    rows = scoring.score_summaries(document_rows(spark, sf), ScriptedClient)
+    rows = scoring.score_summaries(turn_rows(spark, sf), ScriptedClient)
     return rows.select("id", "metric", r6(F.col("value")).alias("value"))
 
 
+def summary_predictions(spark, sf):
+    """Summaries of whole dialogues that two runs predict."""
+    rows = dialogues(spark, sf).withColumnRenamed("dialogue_id", "id")
+    out = None
+    for run, client in (("first", EchoFirst), ("last", ScriptedClient)):
+        part = scoring.predict(rows, "dialogue", client, prompts.PREDICT_SUMMARY_PARAMS, run, "predicted_summary")
+        out = part if out is None else out.unionByName(part)
+    return out.select("run_id", "id", "predicted_summary")
+
+
+def summary_run_scores(spark, sf):
+    """The two runs' summaries against the dialogue's second turn, by metric."""
+    references = dialogues(spark, sf).withColumnRenamed("dialogue_id", "id").withColumn(
+        "summary", F.element_at(F.split("dialogue", "\n", -1), 2)
+    )
+    runs = scoring.compare_summaries(materialize(summary_predictions(spark, sf), "predictions"), references, ScriptedClient)
+    return runs.select("run_id", "metric", F.round("mean", 5).alias("mean"), "scored", "missing")
+
+
 def prediction_file_scores(spark, sf):
     """Scores of predictions read back from a CSV file."""
     path = scratch_path(spark, "predictions")
-    tables.export_csv(document_rows(spark, sf).select("id", "predicted_summary", "summary"), path)
+    tables.export_csv(turn_rows(spark, sf).select("id", "predicted_summary", "summary"), path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "predicted_summary", "summary")])
     rows = files.read_csv(spark, path, schema)
     return scoring.score_prediction_file(rows, ScriptedClient).select("metric", F.round("mean", 5).alias("mean"))
@@ -752,7 +780,7 @@ QUERIES = [
     sub_topic_prompts, persona_prompts, dialogue_prompts, dialogue_prompts_plain, judge_prompts, question_prompts,
     answer_prompts, probe_prompts, rubric_prompts,
     cosine_pairs, embedding_match_f1, yes_probability, last_yes_position, expected_rating,
-    fed_score, gpt_score, g_eval, quality_metrics, score_ledger, score_counts, vector_ledger, qags, qags_chunked, summary_scores, prediction_file_scores,
+    fed_score, gpt_score, g_eval, quality_metrics, score_ledger, score_counts, vector_ledger, qags, qags_chunked, summary_scores, summary_predictions, summary_run_scores, prediction_file_scores,
     response_predictions, run_compare, generation_run, stage_manifest, stage_summary, stage_judge, stage_metrics,
     drop_scope, progress_counts, persona_groups,
 ]

@@ -535,12 +535,26 @@ bs AS (SELECT id,
 scores AS (
   SELECT id, 'rouge_l' AS metric, CAST({F_MEASURE} AS DOUBLE) AS value FROM overlap
   UNION ALL SELECT id, 'bert_score', 2 * p * r / (p + r) FROM bs)"""
+TURN_ROWS = f"""{DIALOGUES}, {PAIRS}, rows_ AS (
+  SELECT conv_id || '-' || turn AS id, dialogue, b AS summary, a AS predicted_summary
+  FROM pairs JOIN dialogues ON dialogue_id = CAST(conv_id AS VARCHAR))"""
+# Two runs predict the first and the last line of a dialogue; its second line is the reference.
+RUN_ROWS = f"""{DIALOGUES}, runs(run) AS (VALUES ('first'), ('last')), rows_ AS (
+  SELECT run || '/' || dialogue_id AS id, dialogue, string_split(dialogue, chr(10))[2] AS summary,
+    string_split(dialogue, chr(10))[CASE run WHEN 'first' THEN 1 ELSE -1 END] AS predicted_summary FROM dialogues, runs)"""
 ORACLES["summary_scores"] = f"""
-WITH RECURSIVE {QA_ROWS}, {TEXT_SCORES}
+WITH RECURSIVE {QA_ROWS.replace(ROWS, TURN_ROWS)}, {TEXT_SCORES}
 SELECT id, metric, round(value, 6) AS value FROM scores
 UNION ALL SELECT id, 'qags', round(avg(score), 6) FROM qa GROUP BY id"""
 ORACLES["prediction_file_scores"] = f"""
-WITH RECURSIVE {ROWS}, {TEXT_SCORES} SELECT metric, round(avg(value), 5) AS mean FROM scores GROUP BY metric"""
+WITH RECURSIVE {TURN_ROWS}, {TEXT_SCORES} SELECT metric, round(avg(value), 5) AS mean FROM scores GROUP BY metric"""
+ORACLES["summary_predictions"] = f"""
+WITH {RUN_ROWS} SELECT split_part(id, '/', 1) AS run_id, split_part(id, '/', 2) AS id, predicted_summary FROM rows_"""
+ORACLES["summary_run_scores"] = f"""
+WITH RECURSIVE {QA_ROWS.replace(ROWS, RUN_ROWS)}, {TEXT_SCORES},
+all_ AS (SELECT id, metric, value FROM scores UNION ALL SELECT id, 'qags', avg(score) FROM qa GROUP BY id)
+SELECT split_part(id, '/', 1) AS run_id, metric, round(avg(value), 5) AS mean, count(value) AS scored,
+  count(*) - count(value) AS missing FROM all_ GROUP BY ALL"""
 ORACLES["response_predictions"] = f"""
 WITH {ROWS}, c AS {split_dialogue('rows_')}
 SELECT 'first_line' AS run_id, id, md5(string_split(context, chr(10))[1]) AS predicted_response FROM c

@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 
 from parlance.session import lookup_join, materialize
 
-# Most hash buckets that are ever counted on the driver.
-HASH_BUCKETS = 4096
-# Rows of the last bucket that one ordered limit may take.
-ORDERED_ROWS = 50_000
+# Digits of a hash, and those that one pass of a radix search counts by: at most 16 ** DIGITS rows reach the driver.
+HASH_DIGITS, DIGITS = 32, 3
+SALTS = 64
 
 
 def first_k(df: DataFrame, keys: list[str], order: list[str], k: int, pos: str = "pos") -> DataFrame:
     """First ``k`` rows of each group, numbered from 0.
 
-    The rank filter becomes a group limit below the shuffle, so a hot group
-    sends at most ``k`` rows per task.
+    Each group is limited by salt and then as a whole, and both rank filters
+    become group limits below their shuffle. However many tasks hold rows of a
+    hot group, the one that numbers it gets ``k`` rows of each salt.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn(pos, F.row_number().over(w)).where(F.col(pos) <= k)
+    salt = F.pmod(F.xxhash64(*order), F.lit(SALTS))
+    part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    some = df.withColumn("_salt", salt).withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= k)
+    ranked = some.drop("_salt", "_rank").withColumn(pos, F.row_number().over(whole)).where(F.col(pos) <= k)
     return ranked.withColumn(pos, F.col(pos) - 1)
 
 
@@ -36,46 +39,48 @@ def sample_few(df: DataFrame, ids: list[str], k: int, seed: int | str) -> DataFr
     return df.orderBy(hash_key(ids, seed), *ids).limit(k)
 
 
+def cutoff(hashes: DataFrame, n: int) -> tuple[str, int]:
+    """Prefix of the n-th smallest of the column _h, and how many rows with that prefix belong to the first ``n``.
+
+    A radix search: each pass counts the rows by the next ``DIGITS`` digits
+    within the prefix found so far, so that a few thousand counts reach the
+    driver. It ends as soon as a prefix is taken whole, or with the hash.
+    """
+    prefix, rest = "", n
+    while len(prefix) < HASH_DIGITS:
+        bucket = F.substring("_h", len(prefix) + 1, DIGITS)
+        inside = hashes.where(F.col("_h").startswith(prefix)) if prefix else hashes
+        for row in sorted(inside.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()):
+            if row["n"] >= rest:
+                break
+            rest -= row["n"]
+        prefix += row["b"]
+        if row["n"] == rest:
+            break
+    return prefix, rest
+
+
 def sample_exact(df: DataFrame, ids: list[str], n: int, seed: int | str) -> DataFrame:
     """Exactly ``n`` rows without replacement, for ``n`` of any size.
 
-    Rows are ranked by a seeded hash of their unique ``ids``. Counts per hash
-    prefix tell up to which prefix all rows belong to the sample; only the one
-    prefix that straddles the limit is refined, until its rest is small
-    enough for an ordered limit. The bulk of the sample is a plain filter.
+    Rows are ranked by a seeded hash of their ``ids``. The search for the n-th
+    smallest hash reads a table of hashes alone; the sample is then a filter on
+    the rows. Only among rows that repeat the ids of the last one is a choice
+    left, which a limit makes.
     """
     keyed = df.withColumn("_h", hash_key(ids, seed))
-    digits, prefix, rest = 3, "", n
-    taken = F.lit(False)
-    first = True
-    while rest > 0:
-        inside = keyed.where(F.col("_h").startswith(prefix)) if prefix else keyed
-        bucket = F.substring("_h", len(prefix) + 1, digits)
-        # At most 16 ** digits = HASH_BUCKETS rows reach the driver.
-        counts = sorted((r["b"], r["n"]) for r in inside.groupBy(bucket.alias("b")).agg(
-            F.count("*").alias("n")).collect())
-        if first and sum(c for _, c in counts) < n:
-            raise ValueError(f"sample of {n} from {sum(c for _, c in counts)} rows")
-        first = False
-        edge, edge_rows = None, 0
-        for name, count in counts:
-            if count > rest:
-                edge, edge_rows = name, count
-                break
-            rest -= count
-        in_prefix = F.col("_h").startswith(prefix) if prefix else F.lit(True)
-        if edge is None:
-            taken = taken | in_prefix
-            break
-        taken = taken | (in_prefix & (bucket < edge))
-        prefix += edge
-        if edge_rows <= ORDERED_ROWS or len(prefix) + digits > 32:
-            break
-    sample = keyed.where(taken)
-    if rest > 0 and prefix:
-        last = keyed.where(F.col("_h").startswith(prefix)).orderBy("_h", *ids).limit(rest)
-        sample = sample.unionByName(last)
-    return sample.drop("_h")
+    hashes = materialize(keyed.select("_h"), "hashes")
+    total = hashes.count()
+    if total < n:
+        raise ValueError(f"sample of {n} from {total} rows")
+    if n <= 0:
+        return df.limit(0)
+    prefix, rest = cutoff(hashes, n)
+    head = F.substring("_h", 1, len(prefix))
+    if len(prefix) < HASH_DIGITS or hashes.where(F.col("_h") == prefix).count() == rest:
+        return keyed.where(head <= prefix).drop("_h")
+    last = keyed.where(F.col("_h") == prefix).limit(rest)
+    return keyed.where(F.col("_h") < prefix).unionByName(last).drop("_h")
 
 
 def size_matched(df: DataFrame, ids: list[str], other: DataFrame, seed: int | str) -> DataFrame:

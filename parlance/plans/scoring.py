@@ -134,6 +134,44 @@ def score_summaries(
     )
 
 
+def run_qa_rows(
+    predictions: DataFrame, references: DataFrame, client: ClientFactory, n: int = 3, store: str | None = None,
+    templates: Templates = DEFAULT,
+) -> DataFrame:
+    """run_id, id and the answers of ``qa_rows`` for the predictions of several runs.
+
+    The questions, and the answers from the dialogue, are asked once for all runs.
+    """
+    questions = materialize(ask_questions(references, client, n, store, templates), "questions")
+    asked = references.select("id", "dialogue").join(questions, "id")
+    from_dialogue = materialize(answer_questions(asked, "dialogue", client, "answers_from_dialogue", store, templates), "answers")
+    # A prediction's key is its run and id.
+    own = F.struct("run_id", "id")
+    predicted = predictions.select("run_id", "id", "predicted_summary").join(questions, "id").withColumn("id", own)
+    from_summary = answer_questions(predicted, "predicted_summary", client, "answers_from_summary", store, templates)
+    from_summary = from_summary.select("id.run_id", "id.id", "answers_from_summary")
+    return from_summary.join(from_dialogue, "id")
+
+
+def compare_summaries(
+    predictions: DataFrame, references: DataFrame, client: ClientFactory, n: int = 3, store: str | None = None
+) -> DataFrame:
+    """run_id, metric, mean, scored, missing of qags, bert_score and rouge_l, for the summaries that several runs predicted.
+
+    ``predictions``: run_id, id, predicted_summary; ``references``: id, dialogue, summary.
+    """
+    rows = join_predictions(predictions, references, ["summary"])
+    texts = score_texts(rows, ["run_id", "id"], "predicted_summary", "summary", client, stem=False)
+    qas = materialize(run_qa_rows(predictions, references, client, n, store), "qas")
+    pairs = zip_answers(qas, "answers_from_dialogue", "answers_from_summary", ["run_id", "id"])
+    f1 = bert_score(F.col("answers_from_summary"), F.col("answers_from_dialogue"), client)["f1"]
+    agreement = pairs.select("run_id", "id", f1.alias("score")).groupBy("run_id", "id").agg(F.avg("score").alias("value"))
+    scores = long_metrics(texts, ["run_id", "id"], ["rouge_l", "bert_score"]).unionByName(
+        agreement.select("run_id", "id", F.lit("qags").alias("metric"), "value")
+    )
+    return report(scores, ["run_id"])
+
+
 def score_responses(rows: DataFrame, keys: list[str], client: ClientFactory | None = None) -> DataFrame:
     """keys, rouge_l (stemmed), bert_score of response and predicted_response."""
     return score_texts(rows, keys, "predicted_response", "response", client, stem=True)

@@ -11,9 +11,10 @@ def md5(seed, i):
     return hashlib.md5(f"{seed}/{i}".encode()).hexdigest()
 
 
+@pytest.mark.parametrize("digits", [1, 3])
 @pytest.mark.parametrize("n", [0, 1, 150, 400])
-def test_sample_exact(spark, monkeypatch, n):
-    monkeypatch.setattr(sampling, "ORDERED_ROWS", 1)
+def test_sample_exact(spark, monkeypatch, n, digits):
+    monkeypatch.setattr(sampling, "DIGITS", digits)
     df = spark.range(400)
     got = sorted(r["id"] for r in sampling.sample_exact(df, ["id"], n, 9).collect())
     assert got == sorted(sorted(range(400), key=lambda i: md5(9, i))[:n])
@@ -24,6 +25,14 @@ def test_sample_too_large(spark):
         sampling.sample_exact(spark.range(3), ["id"], 4, 1)
 
 
+def test_sample_of_repeated_ids(spark):
+    df = spark.createDataFrame([(i // 10, i) for i in range(60)], "id int, v int")
+    order = sorted(range(6), key=lambda i: md5(3, i))
+    for n in (1, 10, 25, 60):
+        got = [r["id"] for r in sampling.sample_exact(df, ["id"], n, 3).collect()]
+        assert len(got) == n and sorted(got) == sorted([i for i in order for _ in range(10)][:n])
+
+
 def test_few(spark):
     got = sorted(r["id"] for r in sampling.sample_few(spark.range(50), ["id"], 4, 2).collect())
     assert got == sorted(sorted(range(50), key=lambda i: md5(2, i))[:4])
