@@ -23,7 +23,8 @@ hash; every row is filed.
 Defined results: rows whose label is null, or whose vector is null, zero, or
 holds null or non-finite components, and vectors of another length than most,
 link with nothing and are classes of their own. Rows that repeat an id are
-vectors of their own in the counts and share the id in the classes. A row with
+vectors of their own: their links and classes are their vector's, and the
+smallest id of a class is its name. A row with
 a null id takes no part and has null results.
 """
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.ann import common_length, matrix, usable
 from parlance.llm.common import components, forest, prepare, slices, thinned
-from parlance.session import materialize
+from parlance.session import lookup_join, materialize
 
 COSINE = 0.93
 BLOCK, SAMPLE = 4_096, 20_000
@@ -117,7 +118,7 @@ def linked(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataF
     classes = materialize(rows.where(F.col("class").isNotNull()).groupBy("class").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"),
         F.first("embedding").alias("embedding"),
-    ), "vectors")
+    ).withColumn("cid", F.monotonically_increasing_id()), "vectors")
     n = classes.count()
     results = _class_links(classes, n, dims, cosine, block) if n else None
     alone = rows.where(F.col("class").isNull()).select(
@@ -135,7 +136,7 @@ def _class_links(classes: DataFrame, n: int, dims: int, cosine: float, block: in
     """class, n_links, component_id of every class."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-7
     labels = max(1, classes.select("label").distinct().count())
-    sample = thinned(classes, F.col("rep"), SAMPLE, n).select("embedding").toArrow().column(0)
+    sample = thinned(classes, F.col("class"), SAMPLE, n).select("embedding").toArrow().column(0)
     lists = int(min(MOST_LISTS, max(1, n / labels // LIST_ROWS)))
     index = Index(_unit(sample, dims)[1], lists)
 
@@ -167,8 +168,8 @@ def _class_links(classes: DataFrame, n: int, dims: int, cosine: float, block: in
 
     kind = classes.schema["embedding"].dataType.simpleString()
     label = classes.schema["label"].dataType.simpleString()
-    probes = filed.select("rep", "label", "embedding").mapInArrow(
-        probe, f"rep long, label {label}, embedding {kind}, list int"
+    probes = filed.select("cid", "label", "embedding").mapInArrow(
+        probe, f"cid long, label {label}, embedding {kind}, list int"
     )
     # Blocks of a list, by its own counts.
     held = filed.groupBy("label", "list").agg(F.count("*").alias("members"))
@@ -177,13 +178,13 @@ def _class_links(classes: DataFrame, n: int, dims: int, cosine: float, block: in
         "label", "list", F.ceil(F.col("members") / block).cast("int").alias("mb"),
         F.ceil(F.col("probes") / block).cast("int").alias("pb"),
     ), "blocks")
-    part = lambda count: F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
+    part = lambda count: F.pmod(F.xxhash64("cid"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     members = filed.join(cuts, ["label", "list"]).withColumn("m", part("mb")).withColumn("p", every("pb")).select(
-        "label", "list", "m", "p", "rep", "copies", "embedding", "code", "left"
+        "label", "list", "m", "p", "cid", "copies", "embedding", "code", "left"
     )
     asking = probes.join(cuts, ["label", "list"]).withColumn("p", part("pb")).withColumn("m", every("mb")).select(
-        "label", "list", "m", "p", "rep", "embedding"
+        "label", "list", "m", "p", "cid", "embedding"
     )
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
@@ -192,11 +193,11 @@ def _class_links(classes: DataFrame, n: int, dims: int, cosine: float, block: in
         if not len(own) or not len(ask):
             return schema.empty_table()
         which = own.column("list")[0].as_py()
-        rep, copies = own.column("rep").to_numpy(), own.column("copies").to_numpy()
-        codes = np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint8).reshape(len(rep), -1)
+        cid, copies = own.column("cid").to_numpy(), own.column("copies").to_numpy()
+        codes = np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint8).reshape(len(cid), -1)
         limit = (reach + own.column("left").to_numpy() + 1e-9) ** 2
         exact, unit = _unit(own.column("embedding"), dims)
-        asked_by = ask.column("rep").to_numpy()
+        asked_by = ask.column("cid").to_numpy()
         q_exact, q_unit = _unit(ask.column("embedding"), dims)
         size = np.sqrt((exact * exact).sum(1))
         q_size = np.sqrt((q_exact * q_exact).sum(1))
@@ -205,7 +206,7 @@ def _class_links(classes: DataFrame, n: int, dims: int, cosine: float, block: in
         for start, end in slices(len(asked_by), 256):
             i, j = np.nonzero(index.distances(q_unit[start:end], which, codes) <= limit)
             i += start
-            keep = asked_by[i] != rep[j]
+            keep = asked_by[i] != cid[j]
             i, j = i[keep], j[keep]
             for x, y in slices(len(i), 200_000):
                 a, b = i[x:y], j[x:y]
@@ -217,7 +218,7 @@ def _class_links(classes: DataFrame, n: int, dims: int, cosine: float, block: in
                 hit = cos >= cosine
                 np.add.at(links, a[hit], copies[b[hit]])
                 us.append(asked_by[a[hit]])
-                vs.append(rep[b[hit]])
+                vs.append(cid[b[hit]])
             if sum(map(len, us)) > 1_000_000:
                 u, v = forest(np.concatenate(us), np.concatenate(vs))
                 us, vs = [u], [v]
@@ -231,10 +232,13 @@ def _class_links(classes: DataFrame, n: int, dims: int, cosine: float, block: in
     keys = ["label", "list", "m", "p"]
     found = members.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(compare, "a long, b long, links long")
     found = materialize(found, "links")
-    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("others"))
-    classes_of = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "rep")
-    out = classes.select("class", "rep", "copies").join(counts, "rep", "left").join(classes_of, "rep", "left")
-    return materialize(out.select(
-        "class", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+    counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("others"))
+    classes_of = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "cid")
+    out = classes.select("class", "rep", "copies", "cid").join(counts, "cid", "left").join(classes_of, "cid", "left")
+    out = materialize(out.select(
+        "class", "cid", "rep", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
+        F.coalesce("component", "cid").alias("root"),
     ), "class-links")
+    # Vector ids come in only here: the smallest of a component names it.
+    names = materialize(out.groupBy("root").agg(F.min("rep").alias("component_id")), "components")
+    return lookup_join(out, names, ["root"], "inner", F.col("cid")).select("class", "n_links", "component_id")
