@@ -69,9 +69,12 @@ class Coder:
     def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Packed sign bits, lengths of the differences, inner products of directions with codes."""
         turned = (vectors - self.centre) @ self.rotation
-        length = np.linalg.norm(turned, axis=1)
-        agree = np.abs(turned).sum(1) / np.sqrt(self.dims) / np.where(length > 0, length, 1)
-        return np.packbits(turned > 0, axis=1), length, np.where(length > 0, agree, 1.0)
+        # Scaled by the largest component, so that no square leaves the range.
+        top = np.abs(turned).max(1, initial=0)
+        unit = turned / np.where(top > 0, top, 1)[:, None]
+        size = np.linalg.norm(unit, axis=1)
+        agree = np.abs(unit).sum(1) / np.sqrt(self.dims) / np.where(size > 0, size, 1)
+        return np.packbits(turned > 0, axis=1), size * top, np.where(size > 0, agree, 1.0)
 
     def signs(self, bits: np.ndarray) -> np.ndarray:
         return np.unpackbits(bits, axis=1, count=self.dims).astype(np.float32) * 2 - 1
@@ -79,19 +82,25 @@ class Coder:
     def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
                bits: np.ndarray, length: np.ndarray, agree: np.ndarray, k: int, error: float):
         """For each query: ids and exact inner products of the block's best ``k`` rows, and the rows reranked."""
-        turned = (queries @ self.rotation).astype(np.float32)
-        size = np.linalg.norm(turned, axis=1)
+        # A query ranks rows alike at any length, and so do all rows scaled together: both are
+        # brought to a size of one, where single precision holds their products.
+        asked = queries / np.abs(queries).max(1, keepdims=True)
+        asked = asked / np.linalg.norm(asked, axis=1, keepdims=True)
+        far = np.abs(self.centre).max(initial=0)
+        big = max(float(length.max(initial=0)), float(far * np.sqrt(self.dims))) or 1.0
+        turned = (asked @ self.rotation).astype(np.float32)
         code = self.signs(bits).T / np.float32(np.sqrt(self.dims))
         # <v, q> = <centre, q> + |v - centre| * <direction, q>, and <direction, q> is about <code, q> / agree.
-        scale = (length / agree).astype(np.float32)
-        wide = (length * np.sqrt(np.maximum(0, 1 - agree**2)) / agree * error / np.sqrt(max(1, self.dims - 1))).astype(np.float32)
-        base = queries @ self.centre
+        scale = (length / big / agree).astype(np.float32)
+        wide = length / big * np.sqrt(np.maximum(0, 1 - agree**2)) / agree * error / np.sqrt(max(1, self.dims - 1))
+        # What single precision can lose of an estimate is added to its bound.
+        slack = (wide + 1e-5 + 1e-7 * self.dims * scale).astype(np.float32)
+        base = asked @ (self.centre / big)
         for start, end in slices(len(queries), 64):
             guess = (turned[start:end] @ code) * scale
             for i in range(start, end):
                 own_row = ids == own[i]
                 about = guess[i - start] + np.float32(base[i])
-                slack = wide * size[i] + np.float32(1e-5)
                 low = np.where(own_row, -np.inf, about - slack)
                 floor = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
                 near = np.flatnonzero((about + slack >= floor) & ~own_row)
