@@ -105,3 +105,29 @@ def test_linked_of_none(spark):
     assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in pq.linked(odd).collect()} == {
         (1, 0, 1, True), (2, 0, 2, True)
     }
+
+
+def test_vectors_of_any_size_are_searched(spark):
+    """Components from 1e-20 to 1e20, and up to 1e140 in doubles, whose products still fit."""
+    rng = np.random.default_rng(7)
+    for top in (1.0, 1e20, 1e140, 1e-20):
+        x = rng.standard_normal((200, 8)) * top
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.search(df, df.where("vec_id % 20 = 0"), k=5).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        assert len(got) == 10
+        hits = 0
+        for q, found in got.items():
+            score = (x * x[q]).sum(1)
+            want = [i for i in np.argsort(-score, kind="stable") if i != q][:5]
+            hits += len({i for _, i in found} & set(want))
+        assert hits >= 45, top
+
+
+def test_repeated_ids_keep_their_links(spark):
+    near = [[1.0, 0.0, 0.01], [1.0, 0.0, 0.02]]
+    rows = [(7, near[0], 1), (7, near[1], 1), (8, [0.0, 1.0, 0.0], 1), (7, [0.0, 1.0, 0.0], 2), (9, [0.0, 1.0, 0.1], 2), (5, [0.0, 1.0, 0.05], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in pq.linked(df).collect())
+    assert got == sorted([(7, 1, 7, True), (7, 1, 7, True), (8, 0, 8, True), (7, 2, 5, False), (9, 2, 5, False), (5, 2, 5, True)])
