@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.ann import common_length, matrix
+from parlance.llm.ann import common_length, matrix, words
 from parlance.llm.common import prepare, slices
 from parlance.llm.whitening import finite
 from parlance.session import materialize
@@ -76,14 +76,6 @@ def rotation(dims: int, seed: int = 1) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def words(bits: np.ndarray) -> np.ndarray:
-    """Rows of bits packed in words."""
-    n, dims = bits.shape
-    padded = np.zeros((n, -(-dims // 64) * 64), np.uint8)
-    padded[:, :dims] = bits
-    return np.packbits(padded, axis=1).view(np.uint64)
-
-
 def encode(x: np.ndarray, turn: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
     """Codes [row, level, word] and scalars [row, levels + 2]: alignments, length of the last residual, of the row."""
     rest = x @ turn
