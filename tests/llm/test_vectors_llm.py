@@ -131,3 +131,28 @@ def test_repeated_ids_keep_their_links(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in pq.linked(df).collect())
     assert got == sorted([(7, 1, 7, True), (7, 1, 7, True), (8, 0, 8, True), (7, 2, 5, False), (9, 2, 5, False), (5, 2, 5, True)])
+
+
+def test_few_rows_are_reranked_and_found(spark, sf):
+    """On 64 dimensions of unclustered vectors: the share of rows reranked, the recall, and the bounds' reliability."""
+    rng = np.random.default_rng(11)
+    rows = [r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect()]
+    for x in (rng.standard_normal((6000, 64)), np.array(rows, float)):
+        coder, ids = ann.Coder(x.shape[1], x.mean(0)), np.arange(len(x))
+        codes, scalars = coder.encode(x)
+        asked = ids[:: max(20, len(x) // 60)]
+        found = list(coder.search(x[asked], asked, ids, x, codes, scalars, 20, ann.ERROR))
+        hits = reranked = 0
+        for q, (got, _, near) in zip(asked, found):
+            score = x @ x[q]
+            score[q] = -np.inf
+            hits += len(set(got.tolist()) & set(np.argsort(-score, kind="stable")[:20].tolist()))
+            reranked += near
+        assert hits >= 0.99 * 20 * len(asked)
+        if len(x) == 6000:
+            assert reranked < 0.1 * len(x) * len(asked)
+            unit = x[0] / np.linalg.norm(x[0])
+            levels = [np.ascontiguousarray(codes[:, i]) for i in range(ann.LEVELS)]
+            guess, wide = coder.estimates(unit @ coder.rotation, levels, [ann._popcount(c) for c in levels], scalars, ann.ERROR)
+            off = np.abs((x - coder.centre) @ unit - guess)
+            assert np.mean(off <= wide) > 0.99
