@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from parlance.llm import bpe, mixing, pii, quality, simhash
 from parlance.llm.common import prepare, table
 from parlance.llm.queries import tokenizer_path
+from parlance.operators.sampling import with_position
 from parlance.session import lookup_join, materialize
 
 
@@ -45,18 +46,20 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     numbered = in_file_order(docs.select("doc_id", "lang", "source", "text"))
     coded = bpe.encode(numbered, tokenizer_path())
     rows = coded.select("_row.*", F.size("ids").cast("long").alias("n_tokens"), "ids")
-    # Written first: a range partitioner reads its input twice.
-    rows = materialize(rows.select("position", "doc_id", "lang", "source", "n_tokens", "ids"), "encoded")
-    return rows.repartitionByRange("position").sortWithinPartitions("position")
+    rows = rows.select("position", "doc_id", "lang", "source", "n_tokens", "ids")
+    # Positions are dense, so a row's part follows from them: no sampling, which would encode twice.
+    parts, n = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, docs.count())
+    part = F.least((F.col("position") * parts / n).cast("int"), F.lit(parts - 1))
+    return rows.repartitionById(parts, part).sortWithinPartitions("position")
 
 
 def in_file_order(docs: DataFrame) -> DataFrame:
     """``docs`` with ``position``: the row's number from 0, files taken by name.
 
-    Rows that were not read from files are numbered by partition, with gaps.
+    Rows that were not read from files have the order of their partitions.
     """
     if not docs.inputFiles():
-        return docs.withColumn("position", F.monotonically_increasing_id())
+        return with_position(docs.withColumn("_at", F.monotonically_increasing_id()), "_at", "position").drop("_at")
     rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
     # A row per file: no more than the tasks that wrote them.
     files = rows.groupBy("_file").agg(F.count("*").alias("n"))
