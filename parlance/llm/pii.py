@@ -28,6 +28,7 @@ stay as they are. Without candidates nothing is learnt and nothing added.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ from parlance.session import materialize
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "secret")
 ROUNDS, ACCEPT = 12, 0.9
+BEFORE = 24  # characters before a match that the labelers see
 
 # A run is entered at its start or right after a match, and possessively, so a long run is read once.
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -91,26 +93,72 @@ def _check(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(items: Column, use: Callable[[Column], Column]) -> Column:
+    """Array of ``use(block)`` for blocks of consecutive items, as many items a block as there are blocks."""
+    def cut(a: Column) -> Column:
+        wide = F.greatest(F.ceil(F.sqrt(F.size(a))).cast("int"), F.lit(1))
+        starts = F.filter(F.sequence(F.lit(0), wide - 1), lambda i: i * wide < F.size(a))
+        return F.transform(starts, lambda i: use(F.slice(a, i * wide + 1, wide)))
+
+    return _let(items, cut)
+
+
+def _scan(items: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """``out`` of a fold whose state has an array ``out``.
+
+    Appending copies the array, so a block collects its own and hands it on
+    whole: n items cost n^1.5 copies, not n^2.
+    """
+    empty = F.slice(start["out"], 1, 0)
+
+    def block(acc: Column, part: Column) -> Column:
+        first = acc.withField("out", empty)
+        return F.aggregate(part, first, step, lambda b: b.withField("out", F.concat(acc["out"], b["out"])))
+
+    return F.aggregate(_blocks(items, lambda part: part), start, block)["out"]
+
+
 def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """kind, start, end, value, valid, before, after of every match of a pattern, from left to right."""
+    """kind, start, end, value, valid, before, after of every match of a pattern, from left to right.
+
+    Places and surroundings come from the pieces between the matches, in one
+    pass; the text is not entered anew at each match.
+    """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    both = F.zip_with(values, gaps, lambda v, g: F.struct(v.alias("v"), g.alias("g")))
+    pieces = F.split(text, pattern, -1)
+    both = F.arrays_zip(values.alias("v"), pieces.alias("g"))
+    # A match is followed by the next piece or, where that is empty, by the next match.
+    both = _let(both, lambda a: F.transform(a, lambda x, i: F.struct(
+        x["v"].alias("v"), x["g"].alias("g"),
+        F.substr(F.concat(F.coalesce(F.get(a, i + 1)["g"], F.lit("")), F.coalesce(F.get(a, i + 1)["v"], F.lit(""))), F.lit(1), F.lit(1)).alias("after"),
+    )))
     both = F.filter(both, lambda x: x["v"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit("").alias("tail"),
+        F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string,after:string>>)").alias("out"),
+    )
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        end = begin + F.length(x["v"])
-        span = F.struct(begin.alias("start"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        begin = acc["at"] + F.length(x["g"])
+        before = F.right(F.concat(acc["tail"], x["g"]), F.lit(BEFORE))
+        span = F.struct(
+            begin.alias("start"), (begin + F.length(x["v"])).alias("end"), x["v"].alias("value"),
+            before.alias("before"), x["after"].alias("after"),
+        )
+        return _let(span, lambda s: F.struct(
+            s["end"].alias("at"), F.right(F.concat(s["before"], s["value"]), F.lit(BEFORE)).alias("tail"),
+            F.concat(acc["out"], F.array(s)).alias("out"),
+        ))
 
-    spans = F.aggregate(both, start, step)["out"]
-    details = F.transform(spans, lambda s: F.struct(
+    details = F.transform(_scan(both, start, step), lambda s: F.struct(
         F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         s["value"].alias("value"), _check(kind, s["value"]).alias("valid"),
-        F.substr(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24))).alias("before"),
-        F.substr(text, s["end"] + 1, F.lit(1)).alias("after"),
+        s["before"].alias("before"), s["after"].alias("after"),
     ))
     return F.when(text.rlike(pattern), details).otherwise(F.expr(_EMPTY))
 
@@ -221,17 +269,28 @@ def _odds(sums: dict, values: dict) -> tuple[dict, float]:
 
 
 def accepted(found: Column, learnt: Reliabilities | None) -> Column:
-    """kind, start, end of base spans and added ones, by kind and start."""
-    base = F.filter(found, lambda c: c["base"])
-    added = F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")
+    """kind, start, end of base spans and added ones, by kind and start.
+
+    Base spans lie in blocks by their start; a candidate is held only against
+    the spans of blocks that it reaches.
+    """
     span = lambda c: F.struct(c["s"]["kind"].alias("kind"), c["s"]["start"].alias("start"), c["s"]["end"].alias("end"))
-    if learnt is not None:
-        cut = math.log(ACCEPT / (1 - ACCEPT))
-        free = lambda c: ~F.exists(base, lambda b: (b["s"]["start"] < c["s"]["end"]) & (c["s"]["start"] < b["s"]["end"]))
-        added = F.transform(
-            F.filter(found, lambda c: ~c["base"] & c["s"]["valid"] & (learnt.log_odds(c["s"]) >= cut) & free(c)), span
-        )
-    return F.array_sort(F.concat(F.transform(base, span), added))
+    base = F.transform(F.filter(found, lambda c: c["base"]), span)
+    if learnt is None:
+        return F.array_sort(base)
+    cut = math.log(ACCEPT / (1 - ACCEPT))
+    places = F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+    blocks = _blocks(places, lambda part: F.struct(
+        F.get(part, F.lit(0))["start"].alias("start"), F.array_max(part["end"]).alias("end"), part.alias("spans")
+    ))
+
+    def added(blocks: Column) -> Column:
+        meet = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
+        taken = lambda c: F.exists(blocks, lambda k: meet(k, c) & F.exists(k["spans"], lambda b: meet(b, c)))
+        sure = lambda c: ~c["base"] & c["s"]["valid"] & (learnt.log_odds(c["s"]) >= cut)
+        return F.transform(F.filter(found, lambda c: sure(c) & ~taken(c["s"])), span)
+
+    return F.array_sort(F.concat(base, _let(blocks, added)))
 
 
 def _listed(spans: Column) -> Column:
@@ -266,19 +325,30 @@ def redact(docs: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(k.upper()) for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        """A span inside the last one is gone with it; one that reaches further adds its own name."""
-        tail = F.concat(
-            acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
-            F.lit("["), F.get(names, s["kind"]), F.lit("]"),
-        )
-        fresh = s["end"] > acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, tail).otherwise(acc["out"]).alias("out"))
+    def step(region: Column, begin: Column) -> Callable[[Column, Column], Column]:
+        def one(acc: Column, s: Column) -> Column:
+            """A span inside the last one is gone with it; one that reaches further adds its own name."""
+            tail = F.concat(
+                acc["out"], F.substr(region, acc["at"] - begin + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
+                F.lit("["), F.get(names, s["kind"]), F.lit("]"),
+            )
+            fresh = s["end"] > acc["at"]
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, tail).otherwise(acc["out"]).alias("out"))
+
+        return one
+
+    def block(acc: Column, part: Column) -> Column:
+        """A block of spans is written from its own region of the text: places in a long text are found by counting."""
+        region = F.substr(F.col("text"), acc["at"] + 1, F.greatest(F.array_max(part["end"]) - acc["at"], F.lit(0)))
+        first = F.struct(acc["at"].alias("at"), F.lit("").alias("out"))
+        return _let(region, lambda r: F.aggregate(
+            part, first, step(r, acc["at"]), lambda b: b.withField("out", F.concat(acc["out"], b["out"]))
+        ))
 
     def end(acc: Column) -> Column:
         return F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1))
 
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, end)).otherwise(F.col("text"))
+    clean = F.when(F.size("spans") > 0, F.aggregate(_blocks(F.col("spans"), lambda part: part), start, block, end)).otherwise(F.col("text"))
     out = rows.withColumn("spans", spans).withColumn("clean", clean)
     columns = []
     for name in docs.columns:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 import pytest
@@ -81,6 +82,42 @@ def test_method_learns_secrets(spark):
     assert not any(got[200 + i] for i in range(60) if not plain(rows[120 + i][1]))
 
 
+def many(n):
+    """A text with ``n`` of each of several kinds, some of them overlapping, some side by side without a gap."""
+    parts = []
+    for i in range(n):
+        parts += [f"mail jo{i}@mail.example.com", f"10.0.{i % 300}.7", f"+1 (974) 555-{i % 10000:04d}", f"key={i * 7919:032x}",
+                  f"token: {i:024d}@a.b", "x@y.com_é@z.org+12345678+87654321", "4111 1111 1111 1111", "😀"]
+    return " ".join(parts)
+
+
+def test_texts_with_thousands_of_matches(spark):
+    """Blocks change nothing: places equal the plain patterns', added spans and cuts a plain walk over all candidates."""
+    texts = {1: many(700), 2: many(3), 3: many(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = docs.select("doc_id", "text", pii.candidates(F.col("text")).alias("found"))
+    learnt = pii.learn(found.select(F.explode("found").alias("c")).select("c.s"))
+    rows = pii.find(docs).collect()
+    check(rows, texts)
+    spans = {r["doc_id"]: r["spans"] for r in rows}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    for r in found.collect():
+        base = [c["s"] for c in r["found"] if c["base"]]
+        want = [(s["kind"], s["start"], s["end"]) for s in base]
+        for c in r["found"]:
+            s = c["s"]
+            odds = learnt.prior + sum(table.get(s[name], 0.0) for name, table in learnt.odds.items())
+            free = all(b["end"] <= s["start"] or s["end"] <= b["start"] for b in base)
+            if not c["base"] and s["valid"] and odds >= math.log(pii.ACCEPT / (1 - pii.ACCEPT)) and free:
+                want.append((s["kind"], s["start"], s["end"]))
+        assert spans[r["doc_id"]] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(want))
+        out, at = "", 0
+        for a, b, k in sorted((a, b, k) for k, a, b in want):
+            if b > at:
+                out, at = out + r["text"][at:max(at, a)] + f"[{pii.KINDS[k].upper()}]", b
+        assert clean[r["doc_id"]] == out + r["text"][at:]
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = pii.find(odd_docs).collect()
     assert len(rows) == 12
