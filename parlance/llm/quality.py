@@ -7,15 +7,17 @@ hashed byte trigrams minimises the non-negative unbiased risk
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
 with the sigmoid loss; where the second part falls below zero, its gradient is
-reversed, as the method says. The class prior is estimated from the labels: the
-share of 1 among the labelled training rows. The score's offset is set so that
+reversed, as the method says. The class prior is the share of 1 among the
+labelled training rows where both labels occur; with trusted positives only it is
+estimated from them and the unlabelled rows (``estimated_prior``). The score's offset is set so that
 the mean score of the unlabelled sample is the prior.
 
 Fitted on at most ``POSITIVES`` + ``UNLABELLED`` rows, chosen by a hash of the
 id; every document is scored, by its whole text.
 
 Defined results: a null text is scored as the empty one. Without a trusted
-positive every score is the prior, or 0.5 without any label. A document with
+positive, or where no positive has a document, every score is the share of 1, or
+0.5 without any label. With fewer than two rows of a sample the estimate is 0.5. A document with
 several labels counts with the largest. Rows with null ids are scored, have
 held_out false and are not learnt from. Repeated rows stay.
 """
@@ -90,6 +92,32 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return w / scale, low - float((mean / scale) @ w)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 1) -> float:
+    """Class prior from positives and unlabelled rows alone.
+
+    Above any cut of a score, the unlabelled share is at least the prior times the
+    positives' share; the cut where their ratio is least, after a margin for chance,
+    gives the estimate. Scores come from a fit on the other half of the rows.
+    """
+    rng = np.random.default_rng(seed)
+    side_p, side_u = rng.random(len(positive)) < 0.5, rng.random(len(unlabelled)) < 0.5
+    found = []
+    for side in (True, False):
+        learn_p, learn_u = positive[side_p == side], unlabelled[side_u == side]
+        p, u = positive[side_p != side], unlabelled[side_u != side]
+        if not min(map(len, (learn_p, learn_u, p, u))):
+            continue
+        w, b = fit(learn_p, learn_u, 0.5, seed)
+        p, u = (np.sort(np.concatenate([x[i:j] @ w + b for i, j in slices(len(x), BATCH)])) for x in (p, u))
+        above = np.arange(max(1, len(p) // 20), len(p) + 1)
+        share_p = above / len(p)
+        share_u = (len(u) - np.searchsorted(u, p[len(p) - above], "left")) / len(u)
+        margin = np.sqrt(np.log(40) / 2 / len(u)) + np.sqrt(np.log(40) / 2 / len(p))
+        best = np.argmin((share_u + margin) / share_p)
+        found.append(share_u[best] / share_p[best])
+    return float(np.mean(found)) if found else 0.5
+
+
 def score_texts(texts: list[bytes], w: np.ndarray, b: float) -> np.ndarray:
     out = np.empty(len(texts))
     for start, end in slices(len(texts), 512):
@@ -126,7 +154,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
     prior = ones / n if n else 0.5
     if not ones:
         return None, prior
-    prior = min(max(prior, 0.01), 0.99)
     corpus = docs.where(learn).select("doc_id", "text")
     trusted = thinned(known.where("label = 1"), F.col("doc_id"), POSITIVES, int(ones)).select("doc_id")
     positive = _gathered(corpus.join(F.broadcast(trusted), "doc_id"), POSITIVES)
@@ -134,7 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
     unlabelled = _gathered(corpus.where(some), UNLABELLED)
     if not len(positive) or not len(unlabelled):
         return None, prior
-    return fit(positive, unlabelled, prior)
+    if ones == n:
+        prior = estimated_prior(positive, unlabelled)
+    return fit(positive, unlabelled, min(max(prior, 0.01), 0.99))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
