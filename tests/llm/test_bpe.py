@@ -67,6 +67,23 @@ def test_odd_rows(odd_docs, no_docs, library):
     assert bpe.digests(no_docs, PATH).count() == 0
 
 
+def test_decode_joins_pieces(spark, library):
+    """Any ids, whatever else the rows hold; numbers that are no id are left out."""
+    size = library.get_vocab_size()
+    lists = [[5, 6, 5], [], None, [size + 7, 300, -3, None, 301], list(range(0, size, 7)), [300] * 100_000]
+    rows = [(i, x, "old", f"w{i}") for i, x in enumerate(lists)] * 2
+    docs = spark.createDataFrame(rows, "row int, ids array<int>, decoded string, `block` string")
+    names = {i: library.id_to_token(i) for i in range(size)}
+    want = sorted((i, x, f"w{i}", None if x is None else " ".join(names[k] for k in x if k in names)) for i, x, _, _ in rows)
+    for blocks in (None, 3):
+        out = bpe.decode(docs, PATH, blocks)
+        assert out.columns == ["row", "ids", "block", "decoded"]
+        assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(
+            ((i, x and [k for k in x], w, d) for i, x, w, d in want), key=str)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().toString()
+    assert bpe.decode(docs.limit(0), PATH).count() == 0
+
+
 def test_many_blocks(odd_docs, library):
     rows = bpe.encode(odd_docs, PATH, block_chars=50_000).collect()
     assert len(rows) == 12
