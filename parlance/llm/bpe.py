@@ -9,11 +9,12 @@ position by position. Only the texts (once, already split) and the distinct
 words of each block are shuffled: a frequent word is one row a block, and no
 word table is sent to every worker.
 
-Decoding is a join with the id-to-piece table, built the same way: rows are
-dealt out in blocks, the distinct ids of each block are joined with the table
-(as large as the vocabulary, ``MOST_PIECES`` rows at most, so it is broadcast),
-and a block then replaces its ids by their pieces, position by position. Pieces
-are joined as the library's decode() does for a tokenizer without a decoder.
+Decoding is a join with the id-to-piece table: the distinct ids of each row are
+exploded and meet the table, which is as large as the vocabulary
+(``MOST_PIECES`` rows at most) and so is broadcast. A broadcast join leaves the
+order of the other side, so a row's pieces follow it and are put in the places
+of its ids without a shuffle. They are joined as the library's decode() does
+for a tokenizer without a decoder.
 
 Defined results: a null or empty text has no ids and decodes to the empty
 text. Rows with null or repeated ids are encoded like any other. To decode,
@@ -39,11 +40,9 @@ from pyspark.sql import types as T
 from parlance.llm.common import prepare
 
 BLOCK_CHARS = 10_000_000
-BLOCK_TOKENS = 2_500_000
 # So many rows (word and block) of a task are packed together on their way back.
 PACK_ROWS = 250_000
 MOST_PIECES = 1_000_000
-NO_ID = -(1 << 31)
 # A long text is split in pieces of about so many characters, cut before white space, where no word can be cut.
 PIECE_CHARS = 1 << 16
 # Characters below this one are split by a plain pattern; a text with others goes through the library's own steps.
@@ -176,18 +175,11 @@ def _unpacked(column: pa.ChunkedArray | pa.Array) -> Iterator[list[str]]:
         yield joined.split(" ") if joined else []
 
 
-def blocks_of(docs: DataFrame, text: str = "text", block_chars: int = BLOCK_CHARS) -> int:
-    """Number of blocks that the texts are dealt out to."""
-    chars = docs.agg(F.sum(F.octet_length(text)).alias("n")).head()["n"] or 0
-    return max(1, -(-chars // block_chars))
-
-
-def encode(
-    docs: DataFrame, path: str, text: str = "text", block_chars: int = BLOCK_CHARS, blocks: int | None = None
-) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``_row`` (the columns of ``docs`` but the text) and ``ids`` of each text."""
     prepare(docs.sparkSession)
-    blocks = blocks or blocks_of(docs, text, block_chars)
+    chars = docs.agg(F.sum(F.octet_length(text)).alias("n")).head()["n"] or 0
+    blocks = max(1, -(-chars // block_chars))
     # A block is a hash of the words and the row, so that equal ids or equal texts alone do not meet.
     block = F.pmod(F.xxhash64("words", F.to_json("row")), F.lit(blocks)).cast("int")
     dealt = split_words(docs, path, text).withColumn("block", block).repartition(blocks, "block")
@@ -289,92 +281,55 @@ def _placed(column: pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarray
     return start, size, np.concatenate(flats)
 
 
-def _ids_packed(ids: np.ndarray) -> bytes:
-    """Ids as compressed bytes, those of equal rank together."""
-    raw = ids.astype("<i4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw).tobytes())
-
-
-def _ids(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1).T
-    return np.ascontiguousarray(raw).view("<i4").ravel()
-
-
-def decode(rows: DataFrame, path: str, blocks: int | None = None) -> DataFrame:
-    """``rows`` with ``decoded``, the text of its ``ids``: each id's piece from the table, joined by spaces.
-
-    Without a number of ``blocks`` the ids are counted first, which evaluates ``rows``.
-    """
+def decode(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` with ``decoded``, the text of its ``ids``: each id's piece from the table, joined by spaces."""
     spark = rows.sparkSession
     prepare(spark)
-    if blocks is None:
-        tokens = rows.agg(F.sum(F.coalesce(F.array_size("ids"), F.lit(0)).cast("long")).alias("n")).head()["n"] or 0
-        blocks = max(1, -(-tokens // BLOCK_TOKENS))
     names = pieces(path)
     size = len(names)
-    table = spark.createDataFrame(pa.table({"id": pa.array(range(size), pa.int32()), "piece": pa.array(names, pa.string())}))
+    table = spark.createDataFrame(pa.table({"number": pa.array(range(size), pa.int32()), "piece": pa.array(names, pa.string())}))
     rest = [c for c in rows.columns if c not in ("ids", "decoded")]
     kept = F.struct(*[rows[f"`{c}`"] for c in rest]) if rest else F.struct(F.lit(0).alias("_none"))
-    # On the way the least integer, which is no id, stands for null.
-    known = F.transform(rows["ids"].cast("array<int>"), lambda i: F.coalesce(i, F.lit(NO_ID)))
-    given = rows.select(kept.alias("row"), known.alias("ids"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            codes = [_ids_packed(x.values.to_numpy()) if x.is_valid else None for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["row", "codes"])
-
-    short = given.mapInArrow(pack, T.StructType([given.schema["row"], T.StructField("codes", T.BinaryType())]))
-    block = F.pmod(F.xxhash64("codes", F.to_json("row")), F.lit(blocks)).cast("int")
-    dealt = short.withColumn("block", block).repartition(blocks, "block")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct ids of each block."""
-        seen: dict[int, np.ndarray] = {}
+    given = rows.select(kept.alias("row"), rows["ids"].cast("array<int>").alias("ids"))
+    spread = given.select("row", "ids", F.posexplode_outer(F.array_distinct("ids")).alias("place", "id"))
+    first = F.coalesce(F.col("place") == 0, F.lit(True))
+    spread = spread.select(first.alias("first"), F.when(first, F.col("row")).alias("row"), F.when(first, F.col("ids")).alias("ids"), "id")
+    joined = spread.join(F.broadcast(table), F.col("id") == F.col("number"), "left").select("first", "row", "ids", "id", "piece")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row is written when the next one begins: by then its pieces are known."""
+        piece, last = np.full(size, None, object), None
         for batch in batches:
-            for b, codes in zip(batch.column("block").to_pylist(), batch.column("codes").to_pylist()):
-                if codes is not None:
-                    ids = _ids(codes)
-                    seen.setdefault(b, np.zeros(size, bool))[ids[(ids >= 0) & (ids < size)]] = True
-        for b, found in seen.items():
-            ids = np.flatnonzero(found).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), b, np.int32))], ["id", "block"])
-
-    # All columns go in, so that both sides read one exchange.
-    found = dealt.mapInArrow(distinct, "id int, block int").join(F.broadcast(table), "id")
-
-    def place(own: pa.Table, joined: pa.Table) -> pa.Table:
-        """A block's ids replaced by their pieces."""
-        piece = np.full(size, None, object)
-        piece[joined.column("id").to_numpy()] = joined.column("piece").to_pylist()
-        lists, texts = [], []
-        for codes in own.column("codes").to_pylist():
-            if codes is None:
-                lists.append(None)
-                texts.append(None)
-                continue
-            ids = _ids(codes)
-            lists.append(ids)
-            texts.append(" ".join(piece[ids[(ids >= 0) & (ids < size)]].tolist()))
-        return pa.table({
-            "row": own.column("row").combine_chunks(), "ids": pa.array(lists, pa.list_(pa.int32())),
-            "decoded": pa.array(texts, pa.string()),
-        })
-
-    shape = T.StructType([
-        dealt.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()),
-    ])
-    out = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(place, shape)
-    ids = F.transform("ids", lambda i: F.when(i != NO_ID, i))
-    columns = [ids.alias(c) if c == "ids" else F.col("row").getField(c).alias(c) for c in rows.columns if c != "decoded"]
+            named = batch.filter(batch.column(4).is_valid())
+            own = batch.filter(batch.column(0))
+            piece[named.column(3).to_numpy()] = named.column(4).to_pylist()
+            if own.num_rows:
+                if last is not None:
+                    yield spelled(last, piece)
+                yield spelled(own.slice(0, own.num_rows - 1), piece)
+                # A copy, which does not hold on to the batch.
+                last = own.slice(own.num_rows - 1).take(pa.array([0]))
+        if last is not None:
+            yield spelled(last, piece)
+
+    def spelled(own: pa.RecordBatch, piece: np.ndarray) -> pa.RecordBatch:
+        texts = []
+        for x in own.column(2):
+            ids = x.values.fill_null(-1).to_numpy() if x.is_valid else None
+            # A piece that has not come is None, which cannot be joined: the task would fail.
+            texts.append(None if ids is None else " ".join(piece[ids[(ids >= 0) & (ids < size)]].tolist()))
+        return pa.RecordBatch.from_arrays([own.column(1), own.column(2), pa.array(texts, pa.string())], ["row", "ids", "decoded"])
+
+    out = joined.mapInArrow(place, T.StructType([
+        joined.schema["row"], joined.schema["ids"], T.StructField("decoded", T.StringType()),
+    ]))
+    columns = [F.col("ids") if c == "ids" else F.col("row").getField(c).alias(c) for c in rows.columns if c != "decoded"]
     return out.select(*columns, "decoded")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    blocks = blocks_of(docs)
-    both = decode(encode(docs.select("doc_id", "text"), path, blocks=blocks), path, blocks)
+    both = decode(encode(docs.select("doc_id", "text"), path), path)
     joined = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return both.select(
         F.col("_row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),

@@ -74,13 +74,15 @@ def test_decode_joins_pieces(spark, library):
     rows = [(i, x, "old", f"w{i}") for i, x in enumerate(lists)] * 2
     docs = spark.createDataFrame(rows, "row int, ids array<int>, decoded string, `block` string")
     names = {i: library.id_to_token(i) for i in range(size)}
-    want = sorted((i, x, f"w{i}", None if x is None else " ".join(names[k] for k in x if k in names)) for i, x, _, _ in rows)
-    for blocks in (None, 3):
-        out = bpe.decode(docs, PATH, blocks)
+    want = [(i, x, w, None if x is None else " ".join(names[k] for k in x if k in names)) for i, x, _, w in rows]
+    for batch in ("10000", "2"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        out = bpe.decode(docs, PATH)
         assert out.columns == ["row", "ids", "block", "decoded"]
-        assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(
-            ((i, x and [k for k in x], w, d) for i, x, w, d in want), key=str)
-    assert "BroadcastHashJoin" in out._jdf.queryExecution().toString()
+        assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(want, key=str)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
     assert bpe.decode(docs.limit(0), PATH).count() == 0
 
 
