@@ -43,6 +43,8 @@ LOCAL_ITEMS = 512
 LOCAL_TOKENS = 1_000_000
 # Postings of one token that one task may join.
 LIST_ROWS = 50_000
+# Pairs of one leader that are compared with one copy of its token array.
+LEADER_PAIRS = 1_000
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -122,17 +124,26 @@ def _similar(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """The pairs that reach the threshold.
 
     Pairs are few bytes and much work, so their number of tasks is set rather
-    than left to size-based coalescing. The leaders' arrays are salted by the
-    other side, so one with many partners is spread.
+    than left to size-based coalescing. Token arrays are shuffled and never
+    broadcast, however few leaders there are: a leader's array is repeated once
+    per ``LEADER_PAIRS`` of its pairs, so one with many partners is spread.
     """
     spark = pairs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = materialize(pairs, "pairs")
-    leaders = materialize(pairs.select("a_id").distinct(), "leaders")
-    a = items.join(leaders, items["_id"] == leaders["a_id"], "left_semi").select(F.col("_id").alias("a_id"), F.col("_ids").alias("_a"))
+    parts = F.ceil(F.count("*") / LEADER_PAIRS).cast("int")
+    leaders = materialize(pairs.groupBy("a_id").agg(parts.alias("_parts")), "leaders")
+    cut = lookup_join(pairs, leaders.where("_parts > 1"), ["a_id"], "left", F.col("b_id"))
+    part = F.pmod(F.xxhash64("b_id"), F.coalesce("_parts", F.lit(1))).cast("int")
+    cut = cut.withColumn("_part", part).drop("_parts")
     b = items.select(F.col("_id").alias("b_id"), F.col("_ids").alias("_b"))
-    joined = lookup_join(pairs.join(b, "b_id"), a, ["a_id"], "inner", F.col("b_id"))
-    scored = joined.repartition(tasks, "a_id", "b_id").sortWithinPartitions("a_id")
+    a = items.select(F.col("_id").alias("a_id"), F.col("_ids").alias("_a")).join(leaders, "a_id")
+    a = a.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    keys = ["a_id", "_part"]
+    joined = cut.join(b.hint("shuffle_merge"), "b_id").repartition(tasks, *keys).join(
+        a.repartition(tasks, *keys).hint("shuffle_merge"), keys
+    )
+    scored = joined.sortWithinPartitions("a_id")
     return scored.where(_pair("_a", "_b", "a_id", F.lit(threshold))).select("a_id", "b_id")
 
 

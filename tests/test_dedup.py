@@ -91,3 +91,22 @@ def test_hot_leader_and_missing_group(spark):
     df = spark.createDataFrame([(None, p, t) for p, t in enumerate(items)], "g string, p int, t string")
     got = [r["t"] for r in greedy_filter(df, "g", "p", "t", local_items=0, window=4).orderBy("p").collect()]
     assert got == keep_first(items)
+
+
+def test_token_arrays_are_never_broadcast(spark, monkeypatch):
+    """A leader with many partners is cut; only numbers are sent to every executor."""
+    narrow = dedup.lookup_join
+
+    def checked(left, right, *args):
+        assert not any(t.startswith("array") for _, t in right.dtypes)
+        return narrow(left, right, *args)
+
+    monkeypatch.setattr(dedup, "lookup_join", checked)
+    monkeypatch.setattr(dedup, "LEADER_PAIRS", 3, raising=False)
+    rng = random.Random(9)
+    lists_ = [rng.choices(range(6), k=rng.randint(3, 7)) for _ in range(30)]
+    items = spark.createDataFrame(list(enumerate(lists_)), "_id long, _ids array<long>")
+    pairs = [(a, b) for a in (0, 1) for b in range(a + 1, 30)]
+    found = dedup._similar(spark.createDataFrame(pairs, "a_id long, b_id long"), items, 0.5)
+    text = [" ".join(f"w{t}" for t in x) for x in lists_]
+    assert sorted(map(tuple, found.collect())) == sorted((a, b) for a, b in pairs if score(text[a], text[b]) >= 0.5)
