@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,3 +25,16 @@ def test_materialize_keeps_rows_and_types(spark):
     copy = session.materialize(df, "copy")
     assert copy.schema.simpleString() == df.schema.simpleString()
     assert sorted(map(tuple, copy.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    """Long texts do not pile up to the row limit of a batch."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    session.ship_package(spark)
+
+    @F.pandas_udf("long")
+    def held(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    rows = spark.range(0, 200, 1, 1).select(F.expr("repeat('x', 200000)").alias("t"))
+    assert rows.select(held("t").alias("n")).agg(F.max("n")).head()[0] * 200_000 <= 2 * session.BATCH_BYTES
