@@ -8,7 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MATCH = T.StructType([T.StructField(n, T.DoubleType()) for n in ("precision", "recall", "f1")])
+MATCH = T.StructType([T.StructField(n, T.DoubleType()) for n in ("precision", "recall", "f1")])
+
+# Rows and columns of one product of token vectors.
+TILE = 1_024
 
 
 def _doubles(v: Column) -> Column:
@@ -35,14 +38,19 @@ def unit_rows(vectors) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-@F.pandas_udf(_MATCH)
-def embedding_match(predicted: pd.Series, reference: pd.Series) -> pd.DataFrame:
-    """Greedy token matching of two arrays of token vectors.
+def best_cosines(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best product of each row with the other side's rows, over tiles: no matrix of two long texts is held."""
+    best_a, best_b = np.full(len(a), -np.inf), np.full(len(b), -np.inf)
+    for i in range(0, len(a), TILE):
+        for j in range(0, len(b), TILE):
+            sims = a[i : i + TILE] @ b[j : j + TILE].T
+            best_a[i : i + TILE] = np.maximum(best_a[i : i + TILE], sims.max(axis=1))
+            best_b[j : j + TILE] = np.maximum(best_b[j : j + TILE], sims.max(axis=0))
+    return best_a, best_b
 
-    Each predicted token takes its best cosine among the reference tokens
-    (precision), and the reverse (recall). A null side (a failed call) gives
-    nulls, an empty one zeros.
-    """
+
+def match_rows(predicted, reference) -> pd.DataFrame:
+    """precision, recall, f1 of each pair of token vectors."""
     rows = []
     for p, r in zip(predicted, reference):
         if p is None or r is None:
@@ -51,11 +59,21 @@ def embedding_match(predicted: pd.Series, reference: pd.Series) -> pd.DataFrame:
         if len(p) == 0 or len(r) == 0:
             rows.append((0.0, 0.0, 0.0))
             continue
-        sims = unit_rows(p) @ unit_rows(r).T
-        precision, recall = sims.max(axis=1).mean(), sims.max(axis=0).mean()
+        precision, recall = (x.mean() for x in best_cosines(unit_rows(p), unit_rows(r)))
         total = precision + recall
         rows.append((precision, recall, 2 * precision * recall / total if total else 0.0))
-    return pd.DataFrame(rows, columns=["precision", "recall", "f1"])
+    return pd.DataFrame(rows, columns=["precision", "recall", "f1"], dtype="float64")
+
+
+@F.pandas_udf(MATCH)
+def embedding_match(predicted: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    """Greedy token matching of two arrays of token vectors.
+
+    Each predicted token takes its best cosine among the reference tokens
+    (precision), and the reverse (recall). A null side (a failed call) gives
+    nulls, an empty one zeros.
+    """
+    return match_rows(predicted, reference)
 
 
 def softmax_at(logits: Column, index: Column) -> Column:

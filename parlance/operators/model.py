@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from parlance.functions.prompts import Params
+from parlance.functions.vectors import MATCH, match_rows
 from parlance.schemas import RESPONSE
 from parlance.session import scratch_path
 from parlance.sources.ledger import Ledger, request_key
@@ -190,29 +192,30 @@ def embeddings(
     return measured(df, "embed", key, {"text": text}, client, measure, "array<float>", "", store, partitions)
 
 
-def _scorer(method: str, returns: str, client: ClientFactory):
-    """Iterator UDF over one client method; a failed row is null."""
+def token_match(predicted: Column, reference: Column, client: ClientFactory, batch_size: int = 16) -> Column:
+    """struct(precision, recall, f1) of two texts over the client's token vectors; nulls for a null or failed side.
 
-    @F.pandas_udf(returns)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    A text's vectors take many times its own bytes, so they are matched where
+    they are made, ``batch_size`` rows at a time, and not sent to another step.
+    """
+
+    @F.pandas_udf(MATCH)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = None
-        for values in batches:
+        for sides in batches:
             model = model or client()
-            out: list = [None] * len(values)
-            rows = [i for i, v in enumerate(values) if v is not None]
-            entries = [_plain(values.iloc[i]) for i in rows]
-            for i, value in zip(rows, each_or_batch(getattr(model, method), entries)[0]):
-                out[i] = value
-            yield pd.Series(out, dtype="float64" if returns == "double" else "object")
-
-    return run
-
+            found = [match_rows([], [])]
+            for lo in range(0, len(sides[0]), batch_size):
+                found.append(match_rows(*[_vectors(model, s.iloc[lo : lo + batch_size].tolist()) for s in sides]))
+            yield pd.concat(found, ignore_index=True)
 
-def _plain(value):
-    if isinstance(value, str):
-        return value
-    return [dict(v) if isinstance(v, dict) else v for v in value]
+    return run(predicted, reference)
 
 
-def token_vectors(text: Column, client: ClientFactory) -> Column:
-    return _scorer("token_vectors", "array<array<float>>", client)(text)
+def _vectors(model: Client, texts: list[str | None]) -> list:
+    """Single-precision token vectors of each text; None for a missing text or a failed call."""
+    out: list = [None] * len(texts)
+    rows = [i for i, t in enumerate(texts) if t is not None]
+    for i, value in zip(rows, each_or_batch(model.token_vectors, [texts[i] for i in rows])[0]):
+        out[i] = None if value is None else [np.asarray(v, np.float32) for v in value]
+    return out

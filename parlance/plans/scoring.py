@@ -10,7 +10,6 @@ from parlance.functions.prompts import (
     ANSWER_PARAMS, DEFAULT, QUESTION_PARAMS, Params, Templates, answer_request, question_request,
 )
 from parlance.functions.rouge import rouge_l
-from parlance.functions.vectors import embedding_match
 from parlance.operators import model
 from parlance.operators.lists import zip_answers
 from parlance.operators.model import ClientFactory
@@ -21,7 +20,7 @@ from parlance.session import materialize
 
 def bert_score(predicted: Column, reference: Column, client: ClientFactory) -> Column:
     """struct(precision, recall, f1) over token vectors of both texts."""
-    return embedding_match(model.token_vectors(predicted, client), model.token_vectors(reference, client))
+    return model.token_match(predicted, reference, client)
 
 
 def predict(
@@ -73,7 +72,8 @@ def qa_rows(
     skipped by the inner join.
     """
     questions = materialize(ask_questions(rows, client, n, store, templates), "questions")
-    asked = rows.select("id", "dialogue", "predicted_summary").join(questions, "id")
+    # Written once: the requests and their keys are both made from it, with no further shuffle of the texts.
+    asked = materialize(rows.select("id", "dialogue", "predicted_summary").join(questions, "id"), "asked")
     from_dialogue = answer_questions(asked, "dialogue", client, "answers_from_dialogue", store, templates)
     from_summary = answer_questions(asked, "predicted_summary", client, "answers_from_summary", store, templates)
     return questions.join(from_dialogue, "id").join(from_summary, "id")
@@ -143,11 +143,12 @@ def run_qa_rows(
     The questions, and the answers from the dialogue, are asked once for all runs.
     """
     questions = materialize(ask_questions(references, client, n, store, templates), "questions")
-    asked = references.select("id", "dialogue").join(questions, "id")
+    asked = materialize(references.select("id", "dialogue").join(questions, "id"), "asked")
     from_dialogue = materialize(answer_questions(asked, "dialogue", client, "answers_from_dialogue", store, templates), "answers")
     # A prediction's key is its run and id.
     own = F.struct("run_id", "id")
     predicted = predictions.select("run_id", "id", "predicted_summary").join(questions, "id").withColumn("id", own)
+    predicted = materialize(predicted, "predicted")
     from_summary = answer_questions(predicted, "predicted_summary", client, "answers_from_summary", store, templates)
     from_summary = from_summary.select("id.run_id", "id.id", "answers_from_summary")
     return from_summary.join(from_dialogue, "id")

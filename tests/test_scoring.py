@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from parlance.functions import vectors
 from parlance.functions.rouge import score
 from parlance.plans import datasets, quality, scoring
 from parlance.scripted import EchoAll, EchoFirst, ScriptedClient
@@ -96,3 +97,26 @@ def test_missing_loss_makes_the_metric_null(spark):
     base = len("#A#: hi\n#B#: yo") + len("\n    #A#: ")
     utterances = ["That's not what you said earlier!", "Stop contradicting yourself!"]
     assert got["consistent"] == pytest.approx(np.mean([base + len(u) for u in utterances]) / 100)
+
+
+def test_vectors_are_matched_a_few_rows_at_a_time(spark):
+    """More than sixteen texts at once get useless vectors here; a null text has nulls."""
+
+    class Few(ScriptedClient):
+        def token_vectors(self, texts):
+            return super().token_vectors(texts) if len(texts) <= 16 else [[[0.0, 0.0]] for _ in texts]
+
+    texts = [(i, "one two three", "four " * (i + 1) + "x") for i in range(100)]
+    df = spark.createDataFrame([*texts, (100, None, "x")], "i int, p string, r string").coalesce(1)
+    got = {r["i"]: r["m"] for r in df.select("i", scoring.bert_score(F.col("p"), F.col("r"), Few).alias("m")).collect()}
+    assert [got[i]["f1"] for i, _, _ in texts] == pytest.approx([matched(p, r) for _, p, r in texts])
+    assert got[100]["f1"] is None
+
+
+def test_tiles_find_the_best_of_the_whole_product(monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(23, 4)), rng.normal(size=(9, 4))
+    monkeypatch.setattr(vectors, "TILE", 4)
+    sims = a @ b.T
+    for got, want in zip(vectors.best_cosines(a, b), (sims.max(axis=1), sims.max(axis=0))):
+        assert got == pytest.approx(want)
