@@ -73,7 +73,7 @@ def qa_rows(
     """
     questions = materialize(ask_questions(rows, client, n, store, templates), "questions")
     # Written once: the requests and their keys are both made from it, with no further shuffle of the texts.
-    asked = materialize(rows.select("id", "dialogue", "predicted_summary").join(questions, "id"), "asked")
+    asked = materialize(rows.select("id", "dialogue", "predicted_summary").join(questions, "id"), "asked", "zstd")
     from_dialogue = answer_questions(asked, "dialogue", client, "answers_from_dialogue", store, templates)
     from_summary = answer_questions(asked, "predicted_summary", client, "answers_from_summary", store, templates)
     return questions.join(from_dialogue, "id").join(from_summary, "id")
@@ -143,12 +143,12 @@ def run_qa_rows(
     The questions, and the answers from the dialogue, are asked once for all runs.
     """
     questions = materialize(ask_questions(references, client, n, store, templates), "questions")
-    asked = materialize(references.select("id", "dialogue").join(questions, "id"), "asked")
+    asked = materialize(references.select("id", "dialogue").join(questions, "id"), "asked", "zstd")
     from_dialogue = materialize(answer_questions(asked, "dialogue", client, "answers_from_dialogue", store, templates), "answers")
     # A prediction's key is its run and id.
     own = F.struct("run_id", "id")
     predicted = predictions.select("run_id", "id", "predicted_summary").join(questions, "id").withColumn("id", own)
-    predicted = materialize(predicted, "predicted")
+    predicted = materialize(predicted, "predicted", "zstd")
     from_summary = answer_questions(predicted, "predicted_summary", client, "answers_from_summary", store, templates)
     from_summary = from_summary.select("id.run_id", "id.id", "answers_from_summary")
     return from_summary.join(from_dialogue, "id")

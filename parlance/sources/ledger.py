@@ -64,9 +64,9 @@ class Ledger:
         A whole result goes before an error row; the value breaks ties, so
         every evaluation picks the same row.
         """
-        place = F.struct(F.col("error").isNotNull(), self.name, "error")
-        return self.load().groupBy("request_id").agg(F.min_by(F.struct(self.name, "error"), place).alias("_r")).select(
-            "request_id", "_r.*"
+        place = F.struct(F.col("error").isNotNull().alias("_failed"), self.name, "error")
+        return self.load().groupBy("request_id").agg(F.min(place).alias("_r")).select(
+            "request_id", f"_r.{self.name}", "_r.error"
         )
 
     def fill(self, requests: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -120,3 +120,19 @@ def test_tiles_find_the_best_of_the_whole_product(monkeypatch):
     sims = a @ b.T
     for got, want in zip(vectors.best_cosines(a, b), (sims.max(axis=1), sims.max(axis=0))):
         assert got == pytest.approx(want)
+
+
+def test_texts_are_joined_with_their_questions_once(spark, monkeypatch):
+    """Requests and keys are made from a written table: no plan of theirs shuffles a dialogue."""
+    given, plain = [], scoring.answer_questions
+
+    def answers(rows, passage, *args):
+        given.append((rows.inputFiles(), rows._jdf.queryExecution().executedPlan().toString()))
+        return plain(rows, passage, *args)
+
+    monkeypatch.setattr(scoring, "answer_questions", answers)
+    rows = spark.createDataFrame([("1", "red dog ran far", "red dog"), ("3", "two words", "two")], "id string, dialogue string, predicted_summary string")
+    assert {r["id"] for r in scoring.qa_rows(rows, ScriptedClient).collect()} == {"1", "3"}
+    runs = rows.select(F.lit("r").alias("run_id"), "id", "predicted_summary")
+    assert {r["id"] for r in scoring.run_qa_rows(runs, rows, ScriptedClient).collect()} == {"1", "3"}
+    assert len(given) == 4 and all(files and "Join" not in plan for files, plan in given)
