@@ -160,3 +160,22 @@ def test_each_or_batch_isolates():
 
     assert model.each_or_batch(call, ["a", "x", "b"]) == (["A", None, "B"], [None, "ValueError: bad", None])
     assert model.each_or_batch(call, []) == ([], [])
+
+
+def test_copies_are_searched_once(spark, monkeypatch):
+    """A file of copies alone makes no pair of blocks; one with a single text keeps its scores."""
+    made, plain = [], diversity._compare
+
+    def compare(rows, file, inside, best):
+        made.append((inside, rows.count()))
+        return plain(rows, file, inside, best)
+
+    monkeypatch.setattr(diversity, "_compare", compare)
+    texts = {"copies": ["red dog", "red dog", "blue sky here", "Blue sky, here"] * 6, "mute": ["!!"] * 3, "same": ["one"] * 2}
+    got = {(r["file"], r["i"]): r["best_rouge"] for r in diversity.rouge_row_maxima(frame(spark, texts), "file", "i", "t", True, 1).collect()}
+    assert got == {(f, i): 0.0 if f == "mute" else 1.0 for f, ts in texts.items() for i in range(len(ts))}
+    assert made == [(True, 4)]
+    # One open text among copies meets every block; the copies need not meet each other.
+    texts = {"f": ["red dog", "blue sky"] * 3 + ["dog red fox"]}
+    got = {r["i"]: r["best_rouge"] for r in diversity.rouge_row_maxima(frame(spark, texts), "file", "i", "t", True, 1).collect()}
+    assert got == {i: 1.0 for i in range(6)} | {6: pytest.approx(0.4)}
