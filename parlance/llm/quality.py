@@ -102,8 +102,11 @@ def _gathered(rows: DataFrame, most: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = features(batch.column(0).cast(pa.binary()).to_pylist()).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in found], pa.binary())], ["x"])
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            # A batch may hold thousands of short texts, whose rows of features take far more than the texts.
+            for start, end in slices(len(texts), 512):
+                found = features(texts[start:end]).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in found], pa.binary())], ["x"])
 
     found = rows.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "x binary").limit(most).toArrow()
     out = np.zeros((found.num_rows, DIMS + 4), np.float16)
