@@ -9,12 +9,13 @@ position by position. Only the texts (once, already split) and the distinct
 words of each block are shuffled: a frequent word is one row a block, and no
 word table is sent to every worker.
 
-Decoding is a join with the id-to-piece table: the distinct ids of each row are
-exploded and meet the table, which is as large as the vocabulary
-(``MOST_PIECES`` rows at most) and so is broadcast. A broadcast join leaves the
-order of the other side, so a row's pieces follow it and are put in the places
-of its ids without a shuffle. They are joined as the library's decode() does
-for a tokenizer without a decoder.
+Decoding is a join with the id-to-piece table, which is as large as the
+vocabulary (``MOST_PIECES`` rows at most) and so is broadcast. Each distinct id
+goes ahead, as a row of its own, of the rows that use it: once a block where
+``encode`` announces it, else once a partition. A broadcast join leaves the
+order of the other side, so the pieces come before the rows and are put in the
+places of their ids without a shuffle. They are joined as the library's
+decode() does for a tokenizer without a decoder.
 
 Defined results: a null or empty text has no ids and decodes to the empty
 text. Rows with null or repeated ids are encoded like any other. To decode,
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,8 @@ BLOCK_CHARS = 10_000_000
 # So many rows (word and block) of a task are packed together on their way back.
 PACK_ROWS = 250_000
 MOST_PIECES = 1_000_000
+# Texts are taken apart into words about so many bytes at a time.
+CHUNK_BYTES = 1 << 20
 # A long text is split in pieces of about so many characters, cut before white space, where no word can be cut.
 PIECE_CHARS = 1 << 16
 # Characters below this one are split by a plain pattern; a text with others goes through the library's own steps.
@@ -168,15 +172,33 @@ def split_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("words", T.BinaryType())]))
 
 
-def _unpacked(column: pa.ChunkedArray | pa.Array) -> Iterator[list[str]]:
-    unpack = zstandard.ZstdDecompressor()
-    for x in column:
-        joined = unpack.decompress(x.as_py()).decode()
-        yield joined.split(" ") if joined else []
+def _lean() -> None:
+    """In a worker: Arrow's memory is given back when freed, where the usual allocator keeps it for the next block."""
+    pa.set_memory_pool(pa.system_memory_pool())
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``_row`` (the columns of ``docs`` but the text) and ``ids`` of each text."""
+def _unpacked(column: pa.ChunkedArray | pa.Array) -> Iterator[pa.ListArray]:
+    """The words of each text, of about CHUNK_BYTES of texts at a time; null for a text without words."""
+    unpack, held, size = zstandard.ZstdDecompressor(), [], 0
+    for x in column:
+        joined = unpack.decompress(x.as_py())
+        held.append(joined or None)
+        size += len(joined)
+        if size >= CHUNK_BYTES:
+            yield pc.split_pattern(pa.array(held, pa.string()), " ")
+            held, size = [], 0
+    if held:
+        yield pc.split_pattern(pa.array(held, pa.string()), " ")
+
+
+def encode(
+    docs: DataFrame, path: str, text: str = "text", block_chars: int = BLOCK_CHARS, announce: bool = False
+) -> DataFrame:
+    """``_row`` (the columns of ``docs`` but the text) and ``ids`` of each text.
+
+    With ``announce`` there is a third column, ``need``, null in these rows; ahead
+    of them are rows that hold nothing else, one for each distinct id of a block.
+    """
     prepare(docs.sparkSession)
     chars = docs.agg(F.sum(F.octet_length(text)).alias("n")).head()["n"] or 0
     blocks = max(1, -(-chars // block_chars))
@@ -186,12 +208,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", block_chars: int = BL
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct words of each block, numbered in order; a partition holds few blocks, of bounded size."""
-        seen: dict[int, set[str]] = {}
+        _lean()
+        seen: dict[int, pa.Array] = {}
         for batch in batches:
-            for b, words in zip(batch.column("block").to_pylist(), _unpacked(batch.column("words"))):
-                seen.setdefault(b, set()).update(words)
-        for b, found in seen.items():
-            names = pa.array(sorted(found), pa.string())
+            of = batch.column("block").to_numpy()
+            for b in np.unique(of).tolist():
+                found = [seen[b]] if b in seen else []
+                found += [pc.unique(lists.flatten()) for lists in _unpacked(batch.column("words").filter(pa.array(of == b)))]
+                seen[b] = pc.unique(pa.chunked_array(found))
+        for b, names in seen.items():
+            names = names.take(pc.sort_indices(names))
             for start in range(0, len(names), 50_000):
                 part = names.slice(start, 50_000)
                 number = np.arange(start, start + len(part), dtype=np.int32)
@@ -201,6 +227,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", block_chars: int = BL
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by word: a word is encoded at its first row and repeated for its other blocks."""
+        _lean()
         encoder, last, last_ids = WordEncoder(path), None, []
         held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         for batch in batches:
@@ -222,26 +249,41 @@ def encode(docs: DataFrame, path: str, text: str = "text", block_chars: int = BL
     found = dealt.mapInArrow(distinct, "word string, block int, number int")
     found = found.repartition("word").sortWithinPartitions("word").mapInArrow(coded, "block int, codes binary")
     shape = T.StructType([T.StructField("_row", dealt.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    if announce:
+        shape = shape.add("need", T.IntegerType())
 
     def place(own: pa.Table, codes: pa.Table) -> pa.Table:
         """A block's words replaced by their ids."""
-        names: set[str] = set()
-        for words in _unpacked(own.column("words")):
-            names.update(words)
-        number = {w: i for i, w in enumerate(sorted(names))}
+        _lean()
+        ends, words = [], []
+        for lists in _unpacked(own.column("words")):
+            ends.append(np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy()))
+            words.append(lists.flatten())
+        coded = pa.chunked_array(words, pa.string()).dictionary_encode()
+        names = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
+        # Words are numbered in order, as in the other pass.
+        number = np.empty(len(names), np.int64)
+        number[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
         start, size, flat = _placed(codes.column("codes"), len(number))
-        values, lengths = [], []
-        for words in _unpacked(own.column("words")):
-            at = np.array([number[w] for w in words], np.int64)
+        # Chunks without words are not among the coded ones.
+        places = np.concatenate([np.zeros(0, np.int32), *[c.indices.to_numpy() for c in coded.chunks]])
+        of = np.split(places, np.cumsum([len(w) for w in words])[:-1])
+        del words, coded
+        rows, done, out = own.column("row").combine_chunks(), 0, []
+        if announce:
+            need = pa.array(np.unique(flat), pa.int32())
+            out.append([*[pa.nulls(len(need), t) for t in (rows.type, pa.list_(pa.int32()))], need])
+        # The result stays in chunks, which go to Spark one at a time.
+        for end, chunk in zip(ends, of):
+            at = number[chunk]
             n = size[at]
-            total = int(n.sum())
-            ends = np.cumsum(n)
-            values.append(flat[np.repeat(start[at] - (ends - n), n) + np.arange(total)])
-            lengths.append(total)
-        offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
-        joined = np.concatenate(values) if values else flat[:0]
-        rows = own.column("row").combine_chunks()
-        return pa.table({"_row": rows, "ids": pa.ListArray.from_arrays(offsets, pa.array(joined))})
+            after = np.append(0, np.cumsum(n))
+            values = flat[np.repeat(start[at] - after[:-1], n) + np.arange(after[-1])]
+            offsets = after[np.append(0, end)].astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            out.append([rows.slice(done, len(end)), ids, *([pa.nulls(len(end), pa.int32())] if announce else [])])
+            done += len(end)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(x, shape.names) for x in out])
 
     return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(place, shape)
 
@@ -281,55 +323,65 @@ def _placed(column: pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarray
     return start, size, np.concatenate(flats)
 
 
-def decode(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` with ``decoded``, the text of its ``ids``: each id's piece from the table, joined by spaces."""
+def decode(rows: DataFrame, path: str, need: str | None = None) -> DataFrame:
+    """``rows`` with ``decoded``, the text of its ``ids``: each id's piece from the table, joined by spaces.
+
+    ``need`` names the column of ids that ``rows`` announce as ``encode`` does: all of a row's ids
+    go ahead of it, in its partition. These rows and the column are not in the result.
+    """
     spark = rows.sparkSession
     prepare(spark)
     names = pieces(path)
     size = len(names)
     table = spark.createDataFrame(pa.table({"number": pa.array(range(size), pa.int32()), "piece": pa.array(names, pa.string())}))
-    rest = [c for c in rows.columns if c not in ("ids", "decoded")]
+    result = [c for c in rows.columns if c not in ("decoded", need)]
+    rest = [c for c in result if c != "ids"]
     kept = F.struct(*[rows[f"`{c}`"] for c in rest]) if rest else F.struct(F.lit(0).alias("_none"))
-    given = rows.select(kept.alias("row"), rows["ids"].cast("array<int>").alias("ids"))
-    spread = given.select("row", "ids", F.posexplode_outer(F.array_distinct("ids")).alias("place", "id"))
-    first = F.coalesce(F.col("place") == 0, F.lit(True))
-    spread = spread.select(first.alias("first"), F.when(first, F.col("row")).alias("row"), F.when(first, F.col("ids")).alias("ids"), "id")
-    joined = spread.join(F.broadcast(table), F.col("id") == F.col("number"), "left").select("first", "row", "ids", "id", "piece")
+    given = rows.select(kept.alias("row"), rows["ids"].cast("array<int>").alias("ids"), *([rows[need].alias("id")] if need else []))
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids not met before in the partition, each in a row ahead of the rows of its batch."""
+        _lean()
+        met = np.zeros(size, bool)
+        for batch in batches:
+            ids = batch.column(1).flatten().fill_null(-1).to_numpy()
+            now = np.zeros(size, bool)
+            now[ids[(ids >= 0) & (ids < size)]] = True
+            fresh = np.flatnonzero(now & ~met).astype(np.int32)
+            met |= now
+            none = [pa.nulls(len(fresh), batch.column(k).type) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(fresh)], ["row", "ids", "id"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.int32())], ["row", "ids", "id"])
+
+    if not need:
+        row = T.StructField("row", given.schema["row"].dataType)
+        given = given.mapInArrow(ahead, T.StructType([row, given.schema["ids"], T.StructField("id", T.IntegerType())]))
+    joined = given.join(F.broadcast(table), F.col("id") == F.col("number"), "left").select("row", "ids", "id", "piece")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row is written when the next one begins: by then its pieces are known."""
-        piece, last = np.full(size, None, object), None
+        _lean()
+        piece = np.full(size, None, object)
         for batch in batches:
-            named = batch.filter(batch.column(4).is_valid())
-            own = batch.filter(batch.column(0))
-            piece[named.column(3).to_numpy()] = named.column(4).to_pylist()
-            if own.num_rows:
-                if last is not None:
-                    yield spelled(last, piece)
-                yield spelled(own.slice(0, own.num_rows - 1), piece)
-                # A copy, which does not hold on to the batch.
-                last = own.slice(own.num_rows - 1).take(pa.array([0]))
-        if last is not None:
-            yield spelled(last, piece)
-
-    def spelled(own: pa.RecordBatch, piece: np.ndarray) -> pa.RecordBatch:
-        texts = []
-        for x in own.column(2):
-            ids = x.values.fill_null(-1).to_numpy() if x.is_valid else None
-            # A piece that has not come is None, which cannot be joined: the task would fail.
-            texts.append(None if ids is None else " ".join(piece[ids[(ids >= 0) & (ids < size)]].tolist()))
-        return pa.RecordBatch.from_arrays([own.column(1), own.column(2), pa.array(texts, pa.string())], ["row", "ids", "decoded"])
+            named = batch.filter(batch.column(3).is_valid())
+            piece[named.column(2).to_numpy()] = named.column(3).to_pylist()
+            own = batch.filter(batch.column(2).is_null())
+            texts = []
+            for x in own.column(1):
+                ids = x.values.fill_null(-1).to_numpy() if x.is_valid else None
+                # A piece that has not come is None, which cannot be joined: the task would fail.
+                texts.append(None if ids is None else " ".join(piece[ids[(ids >= 0) & (ids < size)]].tolist()))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(texts, pa.string())], ["row", "ids", "decoded"])
 
     out = joined.mapInArrow(place, T.StructType([
         joined.schema["row"], joined.schema["ids"], T.StructField("decoded", T.StringType()),
     ]))
-    columns = [F.col("ids") if c == "ids" else F.col("row").getField(c).alias(c) for c in rows.columns if c != "decoded"]
+    columns = [F.col("ids") if c == "ids" else F.col("row").getField(c).alias(c) for c in result]
     return out.select(*columns, "decoded")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs.select("doc_id", "text"), path), path)
+    both = decode(encode(docs.select("doc_id", "text"), path, announce=True), path, need="need")
     joined = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return both.select(
         F.col("_row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),

@@ -1,9 +1,12 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from parlance.llm import bpe
@@ -86,6 +89,47 @@ def test_decode_joins_pieces(spark, library):
     assert bpe.decode(docs.limit(0), PATH).count() == 0
 
 
+def test_decode_joins_a_distinct_id_once_a_block(spark, library):
+    """Before, every row sent its own distinct ids through the join."""
+    text = "the cat sat on the mat, don't 12 <|endoftext|> unbelievably"
+    docs = spark.createDataFrame([(i, None if i % 50 == 7 else text) for i in range(400)], "doc_id long, text string")
+    ids = library.encode(text, add_special_tokens=False).ids
+    spread = bpe.encode(docs, PATH, announce=True)
+    assert spread.columns == ["_row", "ids", "need"]
+    rows = spread.collect()
+    assert [r["need"] for r in rows if r["need"] is not None] == sorted(set(ids))
+    assert all(r["_row"] is None and r["ids"] is None for r in rows[: len(set(ids))])
+    kept = {r["_row"]["doc_id"]: r["ids"] for r in rows if r["need"] is None}
+    assert kept == {i: [] if i % 50 == 7 else ids for i in range(400)}
+    check(docs, bpe.digests(docs, PATH), library)
+    check(docs, bpe.decode(bpe.encode(docs, PATH), PATH).select(
+        "_row.doc_id", F.size("ids"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256), F.sha2("decoded", 256),
+    ), library)
+    for out in (bpe.decode(spread, PATH, need="need"), bpe.decode(bpe.encode(docs, PATH), PATH)):
+        assert out.columns == ["_row", "ids", "decoded"] and out.count() == 400
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_taken_apart_in_chunks(monkeypatch):
+    texts = ["b a b", "", "c", "", "a " * 30 + "é", "d"]
+    packed = pa.array([zstandard.ZstdCompressor().compress(" ".join(t.split()).encode()) for t in texts], pa.binary())
+    for chunk in (1, 5, 1 << 20):
+        monkeypatch.setattr(bpe, "CHUNK_BYTES", chunk)
+        found = list(bpe._unpacked(packed))
+        assert len(found) == {1: 4, 5: 3, 1 << 20: 1}[chunk]
+        assert [x or [] for lists in found for x in lists.to_pylist()] == [t.split() for t in texts]
+
+
+def test_blocks_of_several_chunks(spark, library):
+    """Two blocks of over CHUNK_BYTES: words of one chunk and of several, texts without words between them."""
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzéßñø"]
+    texts = [" ".join(words[i % 900 : i % 900 + 100] * 400) for i in range(0, 900, 13)]
+    rows = [(i, t if i % 5 else None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    assert sum(len(t.encode()) for i, t in rows if t) > 2 * bpe.CHUNK_BYTES
+    check(docs, bpe.digests(docs, PATH), library)
+
+
 def test_many_blocks(odd_docs, library):
     rows = bpe.encode(odd_docs, PATH, block_chars=50_000).collect()
     assert len(rows) == 12
