@@ -43,13 +43,15 @@ COSINE = 0.93
 BLOCK, SAMPLE = 4_096, 20_000
 SUBSPACES, CODEWORDS = 8, 64
 LIST_ROWS, MOST_LISTS = 2_048, 4_096
+# Distances of rows to centres that are held at once: 8 MB a matrix.
+CELLS = 1 << 20
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
     k = min(k, len(x))
     centres = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        own = nearest(x, centres)[0]
+        own = owners(x, centres)
         n = np.bincount(own, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
@@ -63,31 +65,44 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return d.argmin(1), np.maximum(d, 0)
 
 
+def owners(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of each row, ``CELLS`` distances at a time."""
+    step = max(1, CELLS // len(centres))
+    return np.concatenate([np.zeros(0, np.int64), *[nearest(x[a:b], centres)[0] for a, b in slices(len(x), step)]])
+
+
 class Index:
     """Coarse centroids and the codewords of the residuals' subspaces."""
 
     def __init__(self, sample: np.ndarray, lists: int, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.coarse = kmeans(sample, lists, rng)
-        residual = sample - self.coarse[nearest(sample, self.coarse)[0]]
+        residual = sample - self.coarse[owners(sample, self.coarse)]
         self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [kmeans(residual[:, p], CODEWORDS, rng) for p in self.parts]
 
     def file(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """List, code, left-over length and distance to the list's centroid of each row."""
-        own, _ = nearest(x, self.coarse)
+        own = owners(x, self.coarse)
         residual = x - self.coarse[own]
-        codes = np.stack([nearest(residual[:, p], b)[0] for p, b in zip(self.parts, self.books)], 1).astype(np.uint8)
+        codes = np.stack([owners(residual[:, p], b) for p, b in zip(self.parts, self.books)], 1).astype(np.uint8)
         back = np.hstack([b[codes[:, m]] for m, b in enumerate(self.books)])
         return own, codes, np.linalg.norm(residual - back, axis=1), np.linalg.norm(residual, axis=1)
 
     def probes(self, x: np.ndarray, reach: float, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of every list that can hold a vector within reach."""
-        own, d = nearest(x, self.coarse)
-        apart = np.sqrt(nearest(self.coarse, self.coarse)[1])[own]
-        to_own = d[np.arange(len(x)), own][:, None]
-        bisector = (d - to_own) <= 2 * reach * apart + 1e-9
-        return np.nonzero(bisector & (np.sqrt(d) <= reach + radius[None, :] + 1e-9))
+        rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, end in slices(len(x), max(1, CELLS // len(self.coarse))):
+            own, d = nearest(x[start:end], self.coarse)
+            # Only the centroids that own a row are set against all of them.
+            owning, place = np.unique(own, return_inverse=True)
+            apart = np.sqrt(nearest(self.coarse[owning], self.coarse)[1])[place]
+            to_own = d[np.arange(len(own)), own][:, None]
+            bisector = (d - to_own) <= 2 * reach * apart + 1e-9
+            row, which = np.nonzero(bisector & (np.sqrt(d) <= reach + radius[None, :] + 1e-9))
+            rows.append(row + start)
+            lists.append(which)
+        return np.concatenate(rows), np.concatenate(lists)
 
     def distances(self, x: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Squared table-lookup distances of rows to the codes of a list."""
@@ -239,6 +254,9 @@ def _class_links(classes: DataFrame, n: int, dims: int, cosine: float, block: in
         "class", "cid", "rep", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.coalesce("component", "cid").alias("root"),
     ), "class-links")
-    # Vector ids come in only here: the smallest of a component names it.
-    names = materialize(out.groupBy("root").agg(F.min("rep").alias("component_id")), "components")
-    return lookup_join(out, names, ["root"], "inner", F.col("cid")).select("class", "n_links", "component_id")
+    # Vector ids come in only here: the smallest of a component names it. A class without a partner names itself.
+    named = out.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
+    names = materialize(named.where("members > 1").drop("members"), "components")
+    return lookup_join(out, names, ["root"], "left", F.col("cid")).select(
+        "class", "n_links", F.coalesce("component_id", "rep").alias("component_id")
+    )
