@@ -21,19 +21,28 @@ unless its ROUGE-L with an item kept earlier reaches the threshold.
   A leader that many items follow is spread by a salt.
 * A group that has, or is left with, at most ``LOCAL_ITEMS`` undecided items is
   walked by one task in one go; the rounds serve the larger ones.
+* Groups of long texts (more than ``LONG_ITEM`` tokens an item) have no postings:
+  those would be larger than the texts, and most of them long. They are cut by
+  position into blocks of ``BLOCK_ITEMS``. A round walks one block of every
+  group, and the later blocks leave out what is similar to an item it keeps.
+  Both search by ``near.Shelf``. Later blocks are read as 16 bits a token, which
+  can only call too much similar; its pairs are compared by their ids.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.functions import near
 from parlance.functions.rouge import Prepared
 from parlance.functions.text import word_text
 from parlance.functions.tokens import numbered, token_ids
+from parlance.operators.diversity import laid_out
 from parlance.operators.lists import REPEAT_THRESHOLD
 from parlance.session import lookup_join, materialize
 
@@ -41,6 +50,11 @@ FIRST_WINDOW = 64
 # Undecided items, and their tokens, that one task may walk through.
 LOCAL_ITEMS = 512
 LOCAL_TOKENS = 1_000_000
+# Mean tokens of an item beyond which a large group goes by blocks, and the items and tokens of a block.
+LONG_ITEM = 64
+BLOCK_ITEMS, BLOCK_TOKENS = 8_192, 8_000_000
+# Tasks that search one later block.
+BLOCK_PARTS = 4
 # Postings of one token that one task may join.
 LIST_ROWS = 50_000
 # Pairs of one leader that are compared with one copy of its token array.
@@ -185,6 +199,93 @@ def _walk(items: DataFrame, threshold: float) -> DataFrame:
     return items.groupBy("_group").applyInPandas(walk, "_id long")
 
 
+@F.pandas_udf(T.BinaryType())
+def _codes(ids: pd.Series) -> pd.Series:
+    return pd.Series([near.codes(np.asarray(x, np.int64)).tobytes() for x in ids], dtype="object")
+
+
+def _walk_block(items: DataFrame, threshold: float) -> DataFrame:
+    """_id of the items kept in groups of at most a block."""
+
+    def walk(own: pa.Table) -> pa.Table:
+        shelf, kept = near.Shelf(threshold), []
+        own = own.sort_by("_pos").combine_chunks()
+        keys, lists_ = own.column("_id").to_numpy(), own.column("_ids")
+        for i, key in enumerate(keys.tolist()):
+            item = near.Entry(np.asarray(lists_[i].values, np.int64))
+            if next(shelf.similar(item), None) is None:
+                shelf.add(item)
+                kept.append(key)
+        return pa.table({"_id": pa.array(kept, pa.int64())})
+
+    return items.groupBy("_group").applyInArrow(walk, "_id long")
+
+
+def _later(leaders: DataFrame, followers: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a_id, b_id) of a leader and a follower that their codes call similar.
+
+    A group's leaders go once to each of ``BLOCK_PARTS`` tasks of each of its later blocks.
+    """
+    schema = pa.schema([("a_id", pa.int64()), ("b_id", pa.int64())])
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        read = lambda x: near.Entry(np.frombuffer(x.as_py(), np.uint16).astype(np.int64))
+        shelf, left, right = near.Shelf(threshold), [], []
+        names = a.column("_id").to_numpy()
+        if len(b):
+            for x in a.column("_codes"):
+                shelf.add(read(x))
+        for key, x in zip(b.column("_id").to_pylist(), b.column("_codes")):
+            found = [names[i] for i in shelf.similar(read(x))]
+            left += found
+            right += [key] * len(found)
+        return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=schema)
+
+    tasks = int(leaders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    a = leaders.where("_block < _blocks - 1").withColumn("_to", every(F.col("_block") + 1, F.col("_blocks") - 1))
+    a = a.withColumn("_part", every(F.lit(0), F.lit(BLOCK_PARTS - 1)))
+    b = followers.withColumn("_to", F.col("_block")).withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(BLOCK_PARTS)).cast("int"))
+    keys = ["_group", "_to", "_part"]
+    # Columns of their own on both sides: they stem from one table.
+    a, b = (x.select(*[F.col(c).alias(c) for c in (*keys, "_id", "_codes")]).repartition(tasks, *keys) for x in (a, b))
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(search, "a_id long, b_id long")
+
+
+def _by_blocks(items: DataFrame, sized: DataFrame, threshold: float) -> list[DataFrame]:
+    """_id of the items kept in the groups of ``sized`` (_id, _group, _size), however large."""
+    own = lambda ids, of=items: lookup_join(of, ids.select("_id"), ["_id"], "left_semi", F.col("_id"))
+    mean = sized.agg(F.avg("_size")).head()[0]
+    block = max(1, min(BLOCK_ITEMS, int(BLOCK_TOKENS / max(mean, 1))))
+    placed = own(sized, items.select("_id", "_group", "_pos")).withColumnRenamed("_id", "_item")
+    placed = materialize(laid_out(placed, "_group", "_pos", block), "placed")
+    placed = placed.select(F.col("_item").alias("_id"), "_block", "_blocks")
+    blocks = placed.agg(F.max("_blocks")).head()[0]
+    later = placed.where("_blocks > 1")
+    codes = own(later).select("_id", "_group", _codes("_ids").alias("_codes")) if blocks > 1 else None
+    if codes is not None:
+        codes = materialize(codes.join(later, "_id"), "codes")
+    kept_parts, gone = [], None
+    for k in range(blocks):
+        undecided = placed.where(F.col("_block") == k)
+        if gone is not None:
+            undecided = lookup_join(undecided, gone, ["_id"], "left_anti", F.col("_id"))
+        kept = materialize(_walk_block(own(materialize(undecided, "undecided")), threshold), "kept")
+        kept_parts.append(kept)
+        if k == blocks - 1:
+            break
+        followers = codes.where(F.col("_block") > k)
+        if gone is not None:
+            followers = lookup_join(followers, gone, ["_id"], "left_anti", F.col("_id"))
+        leaders = own(kept, codes.where(F.col("_block") == k))
+        pairs = materialize(_later(leaders, followers, threshold), "pairs")
+        met = pairs.select(F.col("a_id").alias("_id")).union(pairs.select("b_id")).distinct()
+        similar = _similar(pairs, own(materialize(met, "met")), threshold)
+        dropped = materialize(similar.select(F.col("b_id").alias("_id")).distinct(), "gone")
+        gone = dropped if gone is None else gone.unionByName(dropped)
+    return kept_parts
+
+
 def _split_by_size(left: DataFrame, local_items: int) -> tuple[DataFrame, DataFrame | None]:
     """Undecided items (_id, _group, _size) of the groups one task may walk, and those of larger groups if any."""
     sizes = left.groupBy("_group").agg(F.count("*").alias("_items"), F.sum("_size").alias("_tokens"))
@@ -199,6 +300,20 @@ def _split_by_size(left: DataFrame, local_items: int) -> tuple[DataFrame, DataFr
     )
 
 
+def _split_by_length(left: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Items (_id, _group, _size) of the groups that go by blocks, and of those that go by postings, if any."""
+    sizes = left.groupBy("_group").agg(F.avg("_size").alias("_mean"))
+    long = materialize(sizes.where(F.col("_mean") > LONG_ITEM).select("_group"), "long")
+    if long.isEmpty():
+        return None, left
+    spread = F.col("_id")
+    rest = materialize(lookup_join(left, long, ["_group"], "left_anti", spread), "left")
+    return (
+        materialize(lookup_join(left, long, ["_group"], "left_semi", spread), "left"),
+        None if rest.isEmpty() else rest,
+    )
+
+
 def group_hash(group: Column) -> Column:
     """Hash of a group's value; a missing group is a group of its own."""
     return F.xxhash64(F.to_json(F.struct(group.alias("g"))))
@@ -236,8 +351,13 @@ def greedy_filter(
         F.monotonically_increasing_id().alias("_id"), "_group", "_pos", token_ids(F.col("_words")).alias("_ids")
     ), "items")
     small, left = _split_by_size(items.select("_id", "_group", F.size("_ids").alias("_size")), local_items)
-    own = lambda ids: items.join(ids.select("_id"), "_id", "left_semi")
+    # Token arrays are shuffled for no join with a few numbers.
+    own = lambda ids: lookup_join(items, ids.select("_id"), ["_id"], "left_semi", F.col("_id"))
     kept_parts = [materialize(_walk(own(small) if left is not None else items, threshold), "kept")]
+    if left is not None:
+        long, left = _split_by_length(left)
+        if long is not None:
+            kept_parts += _by_blocks(items, long, threshold)
     if left is not None:
         postings = materialize(_postings(own(left), threshold), "postings")
     while left is not None:

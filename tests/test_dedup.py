@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from parlance.functions import near, tokens
 from parlance.functions.rouge import score
 from parlance.operators import dedup, lists
 from parlance.operators.dedup import greedy_filter
@@ -110,3 +111,55 @@ def test_token_arrays_are_never_broadcast(spark, monkeypatch):
     found = dedup._similar(spark.createDataFrame(pairs, "a_id long, b_id long"), items, 0.5)
     text = [" ".join(f"w{t}" for t in x) for x in lists_]
     assert sorted(map(tuple, found.collect())) == sorted((a, b) for a, b in pairs if score(text[a], text[b]) >= 0.5)
+
+
+def long_groups(seed):
+    """Groups of texts of some 80 words, many of them near copies that differ in a few words, or in half of them."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)] + ["the", "of"] * 40
+    base = [" ".join(rng.choices(words, k=rng.randint(60, 110))) for _ in range(14)]
+
+    def near(text):
+        out = text.split()
+        for i in rng.sample(range(len(out)), rng.choice([3, len(out) // 2, len(out) * 6 // 10])):
+            out[i] = rng.choice(words)
+        return " ".join(out)
+
+    long = [near(rng.choice(base)) for _ in range(120)] + base[:4]
+    return {"long": long, "second": [near(t) for t in base * 3], "few": base[:2], "short": ["red ring", "red bolt", "red ring!"] * 9}
+
+
+def test_long_texts_by_blocks_equal_the_loop(spark, monkeypatch):
+    """Several blocks of a group, codes that fall together included; postings are made of short texts alone."""
+    spread = dedup._postings
+
+    def postings(items, threshold):
+        assert {r["_n"] for r in items.select(F.size("_ids").alias("_n")).collect()} == {2}
+        return spread(items, threshold)
+
+    monkeypatch.setattr(dedup, "_postings", postings)
+    monkeypatch.setattr(dedup, "BLOCK_ITEMS", 25)
+    groups = long_groups(8)
+    df, want = grouped(spark, groups), {g: keep_first(i) for g, i in groups.items()}
+    assert len(want["long"]) < 100
+    assert kept_by(df, groups, local_items=1, window=4) == want
+
+
+def test_few_subsequences_are_computed_for_long_texts(monkeypatch):
+    """Bounds settle nearly all pairs, and lose none."""
+    rng = random.Random(3)
+    texts = [t for g in ("long", "second") for t in long_groups(21)[g]]
+    texts += ["", "w1", " ".join(f"w{rng.randrange(400)}" for _ in range(5_000))]
+    ids = tokens.Ids(False)
+    entries = [near.Entry(ids.of(t)) for t in texts]
+    calls, plain = [], near.lcs_length
+    monkeypatch.setattr(near, "lcs_length", lambda *a: calls.append(1) or plain(*a))
+    for threshold in (0.5, 0.8):
+        shelf = near.Shelf(threshold)
+        for e in entries[: len(texts) // 2]:
+            shelf.add(e)
+        calls.clear()
+        found = [(i, k) for i, e in enumerate(entries) for k in shelf.similar(e)]
+        want = [(i, k) for i, t in enumerate(texts) for k in range(len(texts) // 2) if score(t, texts[k]) >= threshold]
+        assert sorted(found) == want
+        assert len(calls) < 2 * len(want)
