@@ -30,6 +30,8 @@ a null id takes no part and has null results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,9 +91,8 @@ class Index:
         back = np.hstack([b[codes[:, m]] for m, b in enumerate(self.books)])
         return own, codes, np.linalg.norm(residual - back, axis=1), np.linalg.norm(residual, axis=1)
 
-    def probes(self, x: np.ndarray, reach: float, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of every list that can hold a vector within reach."""
-        rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def probes(self, x: np.ndarray, reach: float, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, list) of every list that can hold a vector within reach, of ``CELLS`` distances at a time."""
         for start, end in slices(len(x), max(1, CELLS // len(self.coarse))):
             own, d = nearest(x[start:end], self.coarse)
             # Only the centroids that own a row are set against all of them.
@@ -100,9 +101,7 @@ class Index:
             to_own = d[np.arange(len(own)), own][:, None]
             bisector = (d - to_own) <= 2 * reach * apart + 1e-9
             row, which = np.nonzero(bisector & (np.sqrt(d) <= reach + radius[None, :] + 1e-9))
-            rows.append(row + start)
-            lists.append(which)
-        return np.concatenate(rows), np.concatenate(lists)
+            yield row + start, which
 
     def distances(self, x: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Squared table-lookup distances of rows to the codes of a list."""
@@ -174,12 +173,12 @@ def _class_links(classes: DataFrame, n: int, dims: int, cosine: float, block: in
 
     def probe(batches):
         for batch in batches:
-            row, which = index.probes(_unit(batch.column(2), dims)[1], reach, radius)
-            for start, end in slices(len(row), 20_000):
-                part = batch.take(pa.array(row[start:end]))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(which[start:end].astype(np.int32))], [*batch.schema.names, "list"]
-                )
+            for row, which in index.probes(_unit(batch.column(2), dims)[1], reach, radius):
+                for start, end in slices(len(row), 20_000):
+                    part = batch.take(pa.array(row[start:end]))
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, pa.array(which[start:end].astype(np.int32))], [*batch.schema.names, "list"]
+                    )
 
     kind = classes.schema["embedding"].dataType.simpleString()
     label = classes.schema["label"].dataType.simpleString()

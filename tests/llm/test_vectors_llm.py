@@ -115,7 +115,8 @@ def test_index_of_many_lists_holds_few_distances():
     tracemalloc.start()
     try:
         index = pq.Index(x, 1_171)
-        own, probed = index.file(x)[0], index.probes(x[:10_000], 0.01, np.full(1_171, 0.05))
+        own = index.file(x)[0]
+        probed = [np.concatenate(y) for y in zip(*index.probes(x[:10_000], 0.01, np.full(1_171, 0.05)))]
         peak = tracemalloc.get_traced_memory()[1]
     finally:
         tracemalloc.stop()
