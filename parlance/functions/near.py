@@ -120,14 +120,17 @@ class Shelf:
         np.bitwise_or.at(self._parts, entry.codes, bits)
         bounds = []
         for part in self._runs(at):
-            sizes = self.sizes[part]
+            # Tokens that stand in no part take no step.
+            found = self._parts[np.concatenate([self.entries[i].codes for i in part])]
+            some = found != 0
+            starts = np.append(0, np.cumsum(self.sizes[part])[:-1])
+            sizes = np.add.reduceat(some, starts, dtype=np.int64)
             ends = np.cumsum(sizes + 1)
             # Every array stands behind a place of its own, where its walk starts.
-            first = ends - sizes - 1
             taken = np.ones(ends[-1], bool)
-            taken[first] = False
+            taken[ends - sizes - 1] = False
             inside = np.zeros(ends[-1], np.int32)
-            inside[taken] = self._parts[np.concatenate([self.entries[i].codes for i in part])]
+            inside[taken] = found[some]
             # A step per array that no walk makes up for: the running maximum starts anew.
             step = np.repeat(np.arange(len(part), dtype=np.int32) * np.int32(2 * ends[-1] + 1), sizes + 1)
             best, hit, seen = step.copy(), np.empty_like(inside), np.empty(ends[-1], np.int32)
