@@ -55,6 +55,8 @@ LONG_ITEM = 64
 BLOCK_ITEMS, BLOCK_TOKENS = 8_192, 8_000_000
 # Tasks that search one later block.
 BLOCK_PARTS = 4
+# Ids, a number each, that are sent to every executor rather than token arrays shuffled.
+SENT_IDS = 300_000
 # Postings of one token that one task may join.
 LIST_ROWS = 50_000
 # Pairs of one leader that are compared with one copy of its token array.
@@ -254,17 +256,20 @@ def _later(leaders: DataFrame, followers: DataFrame, threshold: float) -> DataFr
 
 def _by_blocks(items: DataFrame, sized: DataFrame, threshold: float) -> list[DataFrame]:
     """_id of the items kept in the groups of ``sized`` (_id, _group, _size), however large."""
-    own = lambda ids, of=items: lookup_join(of, ids.select("_id"), ["_id"], "left_semi", F.col("_id"))
+    own = lambda ids, of=items: lookup_join(
+        of, ids.select("_id"), ["_id"], "left_semi", F.col("_id"), SENT_IDS
+    )
     mean = sized.agg(F.avg("_size")).head()[0]
     block = max(1, min(BLOCK_ITEMS, int(BLOCK_TOKENS / max(mean, 1))))
-    placed = own(sized, items.select("_id", "_group", "_pos")).withColumnRenamed("_id", "_item")
+    placed = items.select("_id", "_group", "_pos").join(sized.select("_id"), "_id", "left_semi")
+    placed = placed.withColumnRenamed("_id", "_item")
     placed = materialize(laid_out(placed, "_group", "_pos", block), "placed")
     placed = placed.select(F.col("_item").alias("_id"), "_block", "_blocks")
     blocks = placed.agg(F.max("_blocks")).head()[0]
     later = placed.where("_blocks > 1")
-    codes = own(later).select("_id", "_group", _codes("_ids").alias("_codes")) if blocks > 1 else None
-    if codes is not None:
-        codes = materialize(codes.join(later, "_id"), "codes")
+    if blocks > 1:
+        codes = items.select("_id", "_group", _codes("_ids").alias("_codes")).join(later, "_id")
+        codes = materialize(codes, "codes")
     kept_parts, gone = [], None
     for k in range(blocks):
         undecided = placed.where(F.col("_block") == k)
@@ -352,7 +357,9 @@ def greedy_filter(
     ), "items")
     small, left = _split_by_size(items.select("_id", "_group", F.size("_ids").alias("_size")), local_items)
     # Token arrays are shuffled for no join with a few numbers.
-    own = lambda ids: lookup_join(items, ids.select("_id"), ["_id"], "left_semi", F.col("_id"))
+    own = lambda ids: lookup_join(
+        items, ids.select("_id"), ["_id"], "left_semi", F.col("_id"), SENT_IDS
+    )
     kept_parts = [materialize(_walk(own(small) if left is not None else items, threshold), "kept")]
     if left is not None:
         long, left = _split_by_length(left)
